@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("secrets", "token_files", "token_counts")
+MODULES = ("secrets", "token_files", "token_counts", "mixing")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
