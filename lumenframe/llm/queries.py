@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("secrets", "token_files", "token_counts", "mixing", "near_dups")
+MODULES = ("secrets", "quality", "token_files", "token_counts", "mixing", "packing", "near_dups", "neighbours")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
