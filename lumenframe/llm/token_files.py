@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -176,7 +177,7 @@ class Encoder:
     blank gives one token that starts with the blank mark, its first.
     """
 
-    def __init__(self, vocabulary: str = BYTE_MODEL, keep: int = 1_000_000):
+    def __init__(self, vocabulary: str = BYTE_MODEL, keep: int = 1_200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -215,36 +216,79 @@ class Encoder:
         self.flat = np.concatenate([self.flat, flat, *(np.array(ids, np.uint32) for ids in alone)])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
 
-    def encode(self, texts: list[str], end: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts with ``end`` after each, and the texts' lengths with it."""
-        if len(self.known) > self.keep:
-            self.forget()
-        units: list[str] = []
-        sizes: list[int] = []
-        for text in texts:
-            first, *rest = UNIT.split(text)
-            units.append(first)
-            units += [" " + x for x in rest]
-            sizes.append(len(rest) + 1)
-        if new := set(units).difference(self.known):
-            self._learn(new)
-        which = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units, and how many each has."""
         begin = self.at[which]
         length = self.at[which + 1] - begin
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        lengths = np.bincount(doc, length, len(texts)).astype(np.int64) + 1
-        total = int(length.sum())
-        source = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(total)
-        out = np.full(total + len(texts), end, np.uint32)
-        ends = np.cumsum(lengths) - 1
-        body = np.ones(len(out), bool)
-        body[ends] = False
-        out[body] = self.flat[source]
-        if len(self.flat) > 32 * self.keep:
+        ends = np.cumsum(length)
+        return self.flat[np.repeat(begin - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)], length
+
+    def _odd(self, text: str) -> np.ndarray:
+        """The ids of a text in which a blank is followed by white space or nothing."""
+        first, *rest = UNIT.split(text)
+        units = [first, *(" " + x for x in rest)]
+        if new := set(units).difference(self.known):
+            self._learn(new)
+        return self._gather(np.fromiter(map(self.known.__getitem__, units), np.int64, len(units)))[0]
+
+    def encode(self, texts: pa.Array, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column with ``end`` after each text, and the texts' lengths with it."""
+        if len(self.known) > self.keep or len(self.flat) > 32 * self.keep:
             self.forget()
+        lists = pc.split_pattern(texts, " ")
+        pieces = lists.flatten().dictionary_encode()
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        firsts, sizes = offsets[:-1], np.diff(offsets)
+        index, names = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
+        doc = np.repeat(np.arange(len(texts)), sizes)
+
+        unsafe = np.fromiter((not x or x[0].isspace() for x in names), bool, len(names))[index]
+        unsafe[firsts] = False
+        odd = np.unique(doc[unsafe])
+        heads = [names[k] for k in index[firsts]]
+        units = [" " + x for x in names]
+        if new := set(units).union(heads).difference(self.known):
+            self._learn(new)
+        which = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))[index]
+        which[firsts] = np.fromiter(map(self.known.__getitem__, heads), np.int64, len(heads))
+        plain = np.ones(len(texts), bool)
+        plain[odd] = False
+        used = plain[doc]
+        found, length = self._gather(which[used])
+        lengths = np.bincount(doc[used], length, len(texts)).astype(np.int64) + 1
+        apart = {int(k): self._odd(texts[int(k)].as_py()) for k in odd}
+        for k, ids in apart.items():
+            lengths[k] += len(ids)
+        out = np.full(int(lengths.sum()), end, np.uint32)
+        ends = np.cumsum(lengths)
+        body = np.repeat(plain, lengths)
+        body[ends - 1] = False
+        out[body] = found
+        for k, ids in apart.items():
+            out[ends[k] - lengths[k] : ends[k] - 1] = ids
         return out, lengths
 
 
+#: Encoders that this process has made, by vocabulary; what they remember helps later tasks.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def shared_encoder(vocabulary: str) -> Encoder:
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
+
+
+def byte_slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``size`` bytes each, a longer text by itself."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, stop
+        at = stop
+
+
 def _filesystem(uri: str):
     from pyarrow.fs import FileSystem
 
@@ -254,7 +298,7 @@ def _filesystem(uri: str):
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long, n_bytes long"
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str = BYTE_MODEL, end: int = 0, shard_ids: int = 1 << 22, batch_chars: int = 1 << 20, block: int = BLOCK, percentile: float = 0.98) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str = BYTE_MODEL, end: int = 0, shard_ids: int = 1 << 22, batch_bytes: int = 1 << 23, block: int = BLOCK, percentile: float = 0.98) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) as shards below ``folder``; return the manifest.
 
     The manifest (part, seq, path, n_docs, n_ids, n_bytes, start) has a row for
@@ -266,7 +310,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = BYTE_MODEL, end
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(vocabulary)
+        encoder = shared_encoder(vocabulary)
         fs, root = _filesystem(folder)
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
@@ -285,29 +329,16 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = BYTE_MODEL, end
             seq, n = seq + 1, 0
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in row], names=["part", "seq", "path", "n_docs", "n_ids", "n_bytes"])
 
-        def encode(texts: list[str]) -> None:
-            nonlocal n
-            ids, sizes = encoder.encode(texts, end)
-            held.append(ids)
-            lengths.append(sizes)
-            n += len(ids)
-
         for batch in batches:
-            texts: list[str] = []
-            chars = 0
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                doc_ids.append(doc_id.as_py())
-                texts.append(text.as_py())
-                chars += len(texts[-1])
-                if chars >= batch_chars:
-                    encode(texts)
-                    texts, chars = [], 0
-                    if n >= shard_ids:
-                        yield write()
-            if texts:
-                encode(texts)
-            if n >= shard_ids:
-                yield write()
+            texts = batch.column(1)
+            for at, stop in byte_slices(texts, batch_bytes):
+                ids, sizes = encoder.encode(texts.slice(at, stop - at), end)
+                held.append(ids)
+                lengths.append(sizes)
+                doc_ids += batch.column(0).slice(at, stop - at).to_pylist()
+                n += len(ids)
+                if n >= shard_ids:
+                    yield write()
         if doc_ids:
             yield write()
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,7 +50,7 @@ def test_counts(spark, pieces):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(TEXT, max_size=5))
 def test_units_have_the_ids_of_whole_texts(texts):
-    ids, lengths = ENCODER.encode(texts)
+    ids, lengths = ENCODER.encode(pa.array(texts, pa.string()))
     library = ENCODER.tokenizer
     assert ids.tolist() == [i for t in texts for i in [*library.encode(t, add_special_tokens=False).ids, 0]]
     assert lengths.sum() == len(ids)
@@ -71,7 +72,7 @@ def test_blocks_round_trip(values, a, b, percentile):
 def test_files(spark, library):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "first"), (3, "again"), (3, "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    manifest = token_files.write_tokens(docs, common.scratch(spark, "tokens"), shard_ids=200, batch_chars=100)
+    manifest = token_files.write_tokens(docs, common.scratch(spark, "tokens"), shard_ids=200, batch_bytes=100)
     assert manifest.count() > 4
     got = sorted(token_files.read_tokens(manifest).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda d: -1 if d is None else d)
