@@ -132,8 +132,10 @@ class BlobLedger:
         """One row (blob, text) for each blob of ``rows`` that wasn't scanned under these rules."""
         body = common.text_or_empty(text)
         blobs = rows.select(blob_id(body).alias("blob"), body.alias("text"))
-        # Copies of a text meet in the map-side half of this aggregation first.
-        return blobs.join(self.findings(rules.version).select("blob"), "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
+        # Copies of a text meet in the map-side half of the aggregation, before any shuffle;
+        # the anti join then has its rows where they are.
+        once = blobs.groupBy("blob").agg(F.first("text").alias("text"))
+        return once.join(self.findings(rules.version).select("blob"), "blob", "left_anti")
 
     def scan(self, rows: DataFrame, rules: RuleSet = RULES, text: str = "text") -> DataFrame:
         """Scan what is unseen, add it to the ledger, and return ``rows`` with blob and spans."""
