@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("secrets", "chat", "quality", "token_files", "token_counts", "mixing", "packing", "near_dups", "neighbours")
+MODULES = ("secrets", "chat", "quality", "token_files", "search", "token_counts", "mixing", "packing", "near_dups", "neighbours")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
