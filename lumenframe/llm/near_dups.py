@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -117,6 +117,7 @@ class MinHasher:
             return _mix((signature.reshape(self.s.bands, self.s.rows) * self.c).sum(1, dtype=np.uint64) ^ self.salt).view(np.int64)
 
 
+@lru_cache(maxsize=8)
 def least_matches(s: Settings) -> dict[int, int]:
     """For each number of hashes compared, the matches below which similarity ``percent`` has a posterior probability under ``miss``, from a uniform prior."""
     grid = np.linspace(0, 1, 20_001)[1:-1]
