@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _formatter(say):
-    @F.arrow_udf("string")
+    @F.arrow_udf(StringType())
     def text(values: pa.Array) -> pa.Array:
         return pa.array([None if v is None else say(v) for v in values.to_pylist()], pa.string())
 

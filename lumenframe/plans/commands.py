@@ -24,7 +24,7 @@ def count_object(spark: SparkSession, dataset: str) -> int:
 
 
 def _relative(decoded: DataFrame, root: str) -> DataFrame:
-    base = F.lit(root.split("://")[-1].rstrip("/") + "/")
+    base = root.split("://")[-1].rstrip("/") + "/"
     return decoded.withColumn("path", F.substring_index(F.url_decode(F.regexp_replace("path", "^[a-z]+:/+", "/")), base, -1))
 
 

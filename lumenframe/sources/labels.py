@@ -17,7 +17,7 @@ def _c(x: Column | str) -> Column:
 def read_texts(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     """(path, text) of ``files`` below ``root``; empty files, which Spark skips, have an empty text."""
     read = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("at"), "value")
-    base = F.lit(root.split("://")[-1].rstrip("/") + "/")
+    base = root.split("://")[-1].rstrip("/") + "/"
     path = F.substring_index(F.regexp_replace(F.url_decode(F.regexp_replace("at", r"\+", "%2B")), "^[a-z]+:/+", "/"), base, -1)
     return files.select("path").join(read.select(path.alias("path"), "value"), "path", "left").select("path", F.coalesce("value", F.lit("")).alias("text"))
 
