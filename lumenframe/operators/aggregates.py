@@ -17,13 +17,19 @@ def count_objects(lines: DataFrame) -> DataFrame:
 def class_histogram(images: DataFrame, annotations: DataFrame, classes: DataFrame, key: str = "path") -> DataFrame:
     """Objects of each class in each image, zeros included; classes of one name count together.
 
-    Counts are made before the classes are laid out, so only distinct
-    (image, class) pairs meet the list.
+    Counts are folded into one row for each image before the join; the class
+    list, a file's lines, is laid out from a literal after it.
     """
-    counted = annotations.groupBy(key, "class_id").agg(F.count("*").alias("n"))
-    each = images.select(key).distinct().withColumn("c", F.explode(F.lit([r["class_id"] for r in classes.select("class_id").orderBy("class_id").collect()])))
-    filled = each.select(key, F.col("c").alias("class_id")).join(counted, [key, "class_id"], "left").join(classes, "class_id")
-    return filled.groupBy(key, "name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_objects"))
+    named: dict[str, list[int]] = {}
+    for r in classes.select("class_id", "name").orderBy("class_id").collect():
+        named.setdefault(r["name"], []).append(r["class_id"])
+    listed = F.array(*(F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, ids)).alias("ids")) for n, ids in named.items()))
+    counted = annotations.groupBy(key, F.col("class_id").cast("int").alias("class_id")).agg(F.count("*").alias("n")).where("class_id IS NOT NULL")
+    folded = counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("class_id", "n"))).alias("counts"))
+    none = F.lit(0).cast("long")
+    total = lambda ids: F.aggregate(ids, none, lambda a, i: a + F.coalesce(F.try_element_at("counts", i), none))
+    laid_out = F.transform(listed, lambda c: F.struct(c["name"].alias("name"), total(c["ids"]).alias("n_objects")))
+    return images.select(key).distinct().join(folded, key, "left").select(key, F.inline(laid_out))
 
 
 def detections_by_class(detections: DataFrame, threshold: float = 0.5) -> DataFrame:

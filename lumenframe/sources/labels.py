@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,22 +55,41 @@ def parse_polygons(rows: DataFrame, line: str = "line") -> DataFrame:
     return rows.withColumns({"class_id": F.get(f, 0).try_cast("int"), "points": checked})
 
 
+OBJECTS = "array<struct<name: string, width: double, height: double, xmin: double, ymin: double, xmax: double, ymax: double>>"
+
+
+def _objects(xml: str) -> list[tuple]:
+    """The objects of one annotation, its size with each."""
+    from xml.etree import ElementTree
+
+    root = ElementTree.fromstring(xml)
+    width = height = None
+    for size in root.findall("size"):
+        width, height = float(size[0].text), float(size[1].text)
+    found = []
+    for o in root.findall("object"):
+        called, boxes = o.findall("name"), o.findall("bndbox")
+        if not called or not boxes:
+            raise ValueError("an object has no name or no box")
+        found.append((called[-1].text, width, height, *(float(boxes[-1][k].text) for k in range(4))))
+    return found
+
+
 def parse_voc(rows: DataFrame, xml: str = "text") -> DataFrame:
     """A row for each object of XML annotations: name, width, height, xmin, ymin, xmax, ymax.
 
     Values are by place in their parent, not by tag.  Of several sizes, names
-    or boxes, the last holds.  An object without a name or a box raises.
+    or boxes, the last holds.  An object without a name or a box raises.  Each
+    document is parsed once, which the XPath functions would do for each value.
     """
-    text = F.col(xml)
-    last = lambda path: F.element_at(F.xpath(text, F.lit(path)), -1).cast("double")
-    objects = F.xpath(text, F.lit("//object/@*|/*/object/name[last()]/text()"))
-    boxes = [F.xpath(text, F.lit(f"/*/object/bndbox[last()]/*[{k}]/text()")) for k in (1, 2, 3, 4)]
-    n = F.xpath_int(text, F.lit("count(/*/object)"))
-    whole = (F.size(objects) == n) & (F.size(boxes[3]) == n)
-    parts = F.arrays_zip(objects.alias("name"), *(b.alias(c) for b, c in zip(boxes, ("xmin", "ymin", "xmax", "ymax"), strict=True)))
-    checked = F.when(whole, parts).otherwise(F.raise_error(F.lit("an object has no name or no box")))
-    each = rows.select(*rows.columns, last("/*/size[last()]/*[1]/text()").alias("width"), last("/*/size[last()]/*[2]/text()").alias("height"), F.explode(checked).alias("o"))
-    return each.select(*rows.columns, "width", "height", F.col("o")["0"].alias("name") if "0" in each.schema["o"].dataType.names else F.col("o")["name"].alias("name"), *(F.col("o")[k].cast("double").alias(c) for c, k in zip(("xmin", "ymin", "xmax", "ymax"), each.schema["o"].dataType.names[1:], strict=True)))
+    fields = ("name", "width", "height", "xmin", "ymin", "xmax", "ymax")
+
+    @F.arrow_udf(OBJECTS)
+    def objects(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([(c, pa.string() if c == "name" else pa.float64()) for c in fields]))
+        return pa.array([None if t is None else [dict(zip(fields, o, strict=True)) for o in _objects(t)] for t in texts.to_pylist()], kind)
+
+    return rows.withColumn("_o", objects(xml)).select(*rows.columns, F.inline("_o"))
 
 
 COCO = "struct<images: array<struct<id: long, file_name: string, width: int, height: int>>, annotations: array<struct<id: long, image_id: long, category_id: int, bbox: array<double>, segmentation: array<array<double>>>>, categories: array<struct<id: int, name: string>>>"
