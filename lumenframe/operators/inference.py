@@ -17,7 +17,15 @@ RAW = "path string, frame int, model int, det_no int, x1 double, y1 double, x2 d
 
 @lru_cache(maxsize=4)
 def session(path: str):
-    """A session on the processor; graphics cards are taken where the library offers them."""
+    """A session on the processor; graphics cards are taken where the library offers them.
+
+    ``py:module:class`` makes another session with the same methods.
+    """
+    if path.startswith("py:"):
+        import importlib
+
+        _, module, name = path.split(":")
+        return getattr(importlib.import_module(module), name)()
     import onnxruntime
 
     wanted = [p for p in ("CUDAExecutionProvider", "CPUExecutionProvider") if p in onnxruntime.get_available_providers()]

@@ -183,8 +183,59 @@ def detect_onnx(spark: SparkSession, models: list[str], frames: DataFrame, class
     return kept, summary
 
 
-#: Command, function, arguments; those with "=" have a default, ":int" are whole numbers.
+def _class_file(spark: SparkSession, path: str) -> DataFrame:
+    return labels.class_list(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"))
+
+
+def capture(spark: SparkSession, folder: str, selection_csv: str, out: str) -> int:
+    """Frames of stored videos (.npy) that a table of path and frame asks for."""
+    found = files.with_parts(files.inventory(spark, folder)).where("suffix = 'npy'").orderBy(names.path_order("path"))
+    wanted = spark.read.csv(selection_csv, schema="path string, frame int", header=True)
+    selection = wanted.withColumn("path", F.concat(F.lit(folder.rstrip("/") + "/"), "path"))
+    return capture_frame(spark, [f"{folder.rstrip('/')}/{r.path}" for r in found.collect()], selection, out)
+
+
+def detect(
+    spark: SparkSession, onnx: str, source: str, classes_txt: str, conf_thres: float = 0.5, second_onnx: str | None = None, second_classes_txt: str | None = None, second_conf_thres: float = 0.5,
+    img_size: int = 640, out: str | None = None, no_label: bool = False, save_boxes: bool = False, save_txt: bool = False, save_conf: bool = False,
+) -> DataFrame:
+    """Detections on the images of a folder or the frames of a stored video; returns each frame's summary.
+
+    ``out`` gets images with boxes drawn, text files and crops as asked; crops
+    are of all detections, whatever their confidence.
+    """
+    if files.source_kind(source) == "stream":
+        raise ValueError("start a live source with lumenframe.streaming.live")
+    frames = images.read_frames(spark, [source]) if source.endswith(".npy") else _images(spark, source).withColumn("frame", F.lit(1))
+    models = [onnx, *([second_onnx] if second_onnx else [])]
+    lists = [_class_file(spark, classes_txt), *([_class_file(spark, second_classes_txt or classes_txt)] if second_onnx else [])]
+    kept, summary = detect_onnx(spark, models, frames, lists, [conf_thres, second_conf_thres][: len(models)], img_size)
+    if out:
+        box = F.struct("class_id", *(F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
+        boxed = lambda rows: frames.join(rows.groupBy("path", "frame").agg(F.collect_list(box).alias("boxes")), ["path", "frame"])
+        tagged = F.concat(names.stem("path"), F.lit("_"), F.col("frame").cast("string"))
+        if not no_label:
+            drawn = augment.drawn(boxed(kept).withColumn("path", tagged), pixels.class_colours(256))
+            sinks.write_pngs(drawn.withColumn("out", F.concat("path", F.lit(".png"))), out)
+        if save_boxes:
+            raw = inference.in_pixels(inference.detect(frames, models, img_size))
+            for k in range(1, len(models) + 1):
+                cut = augment.crops(boxed(raw.where(F.col("model") == k)).withColumn("path", tagged)).where("height > 0 AND width > 0")
+                sinks.write_pngs(cut.withColumn("out", names.crop_name("path", F.lit(k), F.col("number"))), f"{out}/crops")
+        if save_txt:
+            shaped = kept.join(frames.select("path", "frame", "width", "height"), ["path", "frame"])
+            unit = geometry.normalise(geometry.xyxy_to_xywh("x1", "y1", "x2", "y2"), "width", "height")
+            lines = inference.label_lines(shaped.withColumns(dict(zip(("xc", "yc", "w", "h"), unit, strict=True))), save_conf)
+            name = names.detection_text_name("path", F.col("frame"), F.lit(source.endswith(".npy")))
+            ordered = lines.select(name.alias("path"), F.struct("model", "det_no").alias("line_no"), "line")
+            sinks.write_texts(sinks.file_texts(ordered), f"{out}/labels", append=True)
+    return summary
+
+
+#: Command, function, arguments; those with "=" have a default, ":int", ":float" and ":flag" say their kind.
 COMMANDS = {
+    "capture_frame": (capture, ("input_dir", "selection_csv", "out")),
+    "detect_onnx": (detect, ("onnx", "source", "classes_txt", "--conf-thres:float=0.5", "--second-onnx=", "--second-classes-txt=", "--second-conf-thres:float=0.5", "--img-size:int=640", "--out=", "--no-label:flag", "--save-boxes:flag", "--save-txt:flag", "--save-conf:flag")),
     "add_empty_labels": (add_empty_labels, ("dataset",)),
     "bbox_augmentation": (bbox_augmentation, ("hyp", "dataset", "--new-image:int=5")),
     "convert_color": (convert_color, ("dataset_dir",)),
@@ -210,7 +261,11 @@ def main(argv: list[str] | None = None) -> None:
         for a in arguments:
             text, _, default = a.partition("=")
             flag, _, kind = text.partition(":")
-            sub.add_argument(flag, type=int if kind else str, **({"default": (int(default) if kind else default or None)} if flag.startswith("--") else {}))
+            if kind == "flag":
+                sub.add_argument(flag, action="store_true")
+                continue
+            of = {"int": int, "float": float}.get(kind, str)
+            sub.add_argument(flag, type=of, **({"default": of(default) if default else None} if flag.startswith("--") else {}))
     found = vars(parser.parse_args(argv))
     function = COMMANDS[found.pop("command")][0]
     spark = SparkSession.builder.appName("lumenframe").getOrCreate()
