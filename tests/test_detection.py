@@ -26,7 +26,7 @@ def test_detections(spark, tmp_path, monkeypatch):
     with open(f"{tmp_path}/out/labels/a.txt") as f:
         lines = f.read().splitlines()
     # The image is half as high as the square: 16 rows of border above it, and a ratio of 1.6.
-    assert len(lines) == 3 and lines[0] == "1 0.5 1 0.5 1 0.9"
+    assert len(lines) == 3 and lines[0] == "1 0.25 0.5 0.5 1 0.9"
 
 
 def test_sessions_are_kept():
