@@ -25,10 +25,12 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets by marks of their kind."""
-    found = secrets.BlobLedger(spark, common.scratch(spark, "blob-ledger")).scan(docs)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = secrets.BlobLedger(spark, common.scratch(spark, "blob-ledger")).scan(rows)
     clean = secrets.redact(F.col("text"), F.col("spans"))
-    size = F.when(F.size("spans") > 0, F.length(clean).cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumns({"n_chars": size, "text": clean}).select(*docs.columns)
+    size = F.when(F.size("spans") > 0, F.length(clean).cast("long")).otherwise(F.col("row.n_chars"))
+    changed = {"text": clean, "n_chars": size}
+    return found.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Compute a narrow table once and keep it in the executors' memory and disks.
+
+    Its lineage stays, so what a lost executor held is computed again; rows must
+    follow from the input alone.  Spark then knows its size when it plans joins.
+    """
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    held.count()
+    return held
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Jobs inside hand Python at most ``n`` rows at a time; for those with wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(n, int(before)) if int(before) > 0 else n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and nothing reads any more."""
     for df in frames:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lumenframe.llm import common
 
 
+#: Links in a file of a round.
+FILE_LINKS = 100_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,19 +29,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Links (a, b) to (cid, comp) for each linked node, ``comp`` the smallest node of its component.
+    """Links (a, b), as a table that is cheap to read, to (cid, comp) for each linked node, ``comp`` the smallest node of its component.
 
     A round costs a few shuffles of the links; the number of rounds grows with
     the logarithm of a component's size.  Each round is written to the shared
-    folder, so a lost executor costs no more than the round.
+    folder, in as many files as its links need, so a lost executor costs no
+    more than the round.
     """
-    edges = common.materialize(links.where("a != b").distinct(), "links")
+    edges = links.where("a != b")
     state = None
+    n = edges.count()
     for _ in range(most_rounds):
-        now = common.materialize(_small_star(_large_star(edges)), "links")
+        now = common.materialize(_small_star(_large_star(edges)).coalesce(1 + n // FILE_LINKS), "links")
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        common.discard(edges)
-        edges = now
+        if state is not None:
+            common.discard(edges)
+        edges, n = now, found[0]
         if found == state:
             return edges.select(F.col("a").alias("cid"), F.col("b").alias("comp"))
         state = found

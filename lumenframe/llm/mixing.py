@@ -58,14 +58,12 @@ def _ranged(hex_key: Column, ranges: int) -> Column:
     return F.floor(F.conv(F.substring(hex_key, 1, 8), 16, 10).cast("double") / 2.0**32 * ranges).cast("long")
 
 
-def _keys(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumns(
-        {
-            "sk": F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")),
-            "key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
-            "tie": F.md5(common.text_or_empty(text)),
-        }
-    )
+def _keys(text: str) -> dict[str, Column]:
+    return {
+        "sk": F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")),
+        "key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
+        "tie": F.md5(common.text_or_empty(text)),
+    }
 
 
 def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, text: str = "text") -> DataFrame:
@@ -75,11 +73,11 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     name a row together with sk), turn, finish (virtual) and taken (words,
     after the cut at the total budget).
     """
-    slim = _keys(docs.select("doc_id", "source", text), text).select("doc_id", "source", "sk", "key", "tie", common.word_count(F.col(text)).alias("size"))
+    slim = docs.select("doc_id", "source", *(c.alias(k) for k, c in _keys(text).items()), common.word_count(F.col(text)).alias("size"))
     slim = common.materialize(slim, "mix-sizes")
     ranges = max(256, slim.count() // RANGE_ROWS)
     slim = slim.withColumn("r", _ranged(F.col("key"), ranges))
-    totals = common.materialize(slim.groupBy("sk", "r").agg(F.max("source").alias("source"), F.sum("size").alias("words")), "mix-totals")
+    totals = slim.groupBy("sk", "r").agg(F.max("source").alias("source"), F.sum("size").alias("words"))
     targets = source_targets(totals.groupBy("sk").agg(F.max("source").alias("source"), F.sum("words").alias("source_size")), weights, share, most)
     earlier = Window.partitionBy("sk").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("sk", "r", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before")).join(targets, "sk")
@@ -92,7 +90,7 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     served = F.greatest(F.lit(0), F.least("size", quota - begin))
     turns = turns.withColumns({"served": served, "finish": F.when(F.col("target") > 0, (begin + F.greatest(served, F.when(begin < quota, F.lit(0)).otherwise(F.col("size")))) / F.col("target")).otherwise(_ranged(F.col("key"), 2**32) / 2.0**32)})
     turns = turns.withColumn("v", F.floor(F.col("finish") * ranges))
-    turns = common.materialize(turns.drop("source", "upto", "before"), "mix-turns")
+    turns = common.hold(turns.drop("source", "upto", "before"))
 
     by_time = turns.groupBy("v").agg(F.sum("served").alias("words"))
     before_v = by_time.select("v", F.coalesce(F.sum("words").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -117,11 +115,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     """
     entries = schedule(docs, weights, share, most, text).where((F.col("taken") > 0) | ((F.col("size") == 0) & (F.col("turn") == 0)))
     keys = ["key", "tie", "sk"]
-    once = _keys(docs, text).dropDuplicates(keys)
-    joined = once.join(entries.select(*keys, F.col("size").alias("_size"), F.col("finish").alias("_finish"), F.col("taken").alias("_taken"), F.col("turn").alias("_turn")), keys)
-    cut = F.when(F.col("_taken") < F.col("_size"), first_words(F.col(text), F.col("_taken"))).otherwise(F.col(text))
-    ordered = joined.withColumn(text, cut).repartitionByRange(common.shuffle_partitions(docs.sparkSession), "_finish", "key", "_turn").sortWithinPartitions("_finish", "key", "_turn")
-    return ordered.select(*docs.columns)
+    named = docs.select(F.struct(*docs.columns).alias("row"), *(c.alias(k) for k, c in _keys(text).items()))
+    once = named.groupBy(*keys).agg(F.first("row").alias("row"))
+    joined = once.join(entries.select(*keys, "size", "finish", "taken", "turn"), keys)
+    body = F.col("row")[text]
+    cut = F.when(F.col("taken") < F.col("size"), first_words(body, F.col("taken"))).otherwise(body)
+    ordered = joined.withColumn("cut", cut).repartitionByRange(common.shuffle_partitions(docs.sparkSession), "finish", "key", "turn").sortWithinPartitions("finish", "key", "turn")
+    return ordered.select(*(F.col("cut").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from lumenframe.llm import common
 from lumenframe.llm.components import connected_components
 
 #: Shingles in a block's side, at most, beside its last text.
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 100_000
 #: Candidates, at most, that are sent to all executors instead of shuffling texts to them.
 SENT_ROWS = 500_000
 
@@ -231,9 +231,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
     with_signatures = pairs.join(side("a", "signature"), "a").join(side("b", "signature"), "b").select("a", "b", "signature_a", "signature_b")
-    left = common.materialize(with_signatures.mapInArrow(prune, "a long, b long"), "near-candidates")
+    left = with_signatures.mapInArrow(prune, "a long, b long")
     with_sets = left.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b")
-    return common.materialize(with_sets.mapInArrow(verify, "a long, b long"), "near-links")
+    with common.arrow_rows(pairs.sparkSession, 512):
+        return common.materialize(with_sets.mapInArrow(verify, "a long, b long"), "near-links")
 
 
 def block_links(a: pd.DataFrame, b: pd.DataFrame | None, s: Settings, least: dict[int, int]) -> list[tuple[int, int]]:
@@ -294,12 +295,14 @@ def _within_buckets(members: DataFrame, sets: DataFrame, components: DataFrame,
             links = block_links(a, b, s, least_matches(s))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return common.materialize(full.groupBy("key", "c", "d").applyInPandas(compare, "a long, b long").distinct(), "near-links")
+    return common.materialize(full.groupBy("key", "c", "d").applyInPandas(compare, "a long, b long"), "near-links")
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:  # noqa: B008
     """A row for each row of ``docs`` (doc_id, text): doc_id, tie, n_shingles, digest, component_id and kept."""
-    prints = common.materialize(fingerprints(docs, s, text), "near-prints")
+    spark = docs.sparkSession
+    with common.arrow_rows(spark, 1024):
+        prints = common.materialize(fingerprints(docs, s, text), "near-prints")
     classes = (
         prints.where("n_shingles > 0")
         .groupBy("digest")
@@ -310,9 +313,10 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text
     keyed = classes.select("cid", F.explode("bands").alias("key"))
     drawn = F.xxhash64("key", "cid")
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("cid", drawn).alias("pivot")).where("n > 1")
-    members = common.materialize(keyed.join(buckets, "key"), "near-members")
-    wanted = common.materialize(members.select("cid").distinct().join(classes.select("cid", "did", "tie", "signature"), "cid"), "near-wanted")
-    sets = common.materialize(_with_sets(docs, wanted, s, text), "near-sets")
+    members = common.hold(keyed.join(buckets, "key"))
+    wanted = common.hold(members.select("cid").distinct().join(classes.select("cid", "did", "tie", "signature"), "cid"))
+    with common.arrow_rows(spark, 1024):
+        sets = common.materialize(_with_sets(docs, wanted, s, text), "near-sets")
     pairs = members.where("cid != pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
     links = _verified(pairs, sets, s)
     components = connected_components(links)
@@ -321,6 +325,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text
 
     labelled = classes.select("cid", "digest", "first_id").join(components, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     labelled = common.materialize(labelled, "near-labelled")
+    members.unpersist()
+    wanted.unpersist()
+    common.discard(classes, sets, links, more)
     smallest = labelled.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     of_class = labelled.join(smallest, "comp").select("digest", "component_id")
     joined = prints.select("doc_id", "tie", "n_shingles", "digest").join(of_class, "digest", "left")
@@ -335,11 +342,15 @@ def deduplicate(docs: DataFrame, s: Settings = Settings(), text: str = "text") -
     words all stay.
     """
     found = near_duplicates(docs, s, text)
-    kept = found.where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_did"), F.col("tie").alias("_tie"), F.coalesce(F.hex("digest"), F.lit("")).alias("_set")).dropDuplicates(["_did", "_tie"])
+    kept = found.where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("did"), "tie", F.coalesce(F.hex("digest"), F.lit("")).alias("set")).dropDuplicates(["did", "tie"])
+    # A digest's rows that are kept share their id, and only repeated rows share text too.
+    one_text = kept.where("set != ''").groupBy("did", "set").agg(F.min("tie").alias("tie"))
+    chosen = one_text.select("did", "tie", "set").unionByName(kept.where("set = ''"))
     body = common.text_or_empty(text)
-    named = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_tie": F.xxhash64(body, F.col("doc_id").isNull())})
-    joined = named.join(kept, ["_did", "_tie"])
-    return joined.where("_set != ''").dropDuplicates(["_did", "_set"]).unionByName(joined.where("_set = ''")).select(*docs.columns)
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), F.xxhash64(body, F.col("doc_id").isNull()).alias("tie"))
+    joined = named.join(chosen, ["did", "tie"])
+    with_words = joined.where("set != ''").groupBy("did", "tie").agg(F.first("row").alias("row"))
+    return with_words.select("row.*").unionByName(joined.where("set = ''").select("row.*"))
 
 
 CONTRACT = Settings(words=4)

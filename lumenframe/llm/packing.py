@@ -83,11 +83,11 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, text: st
     """doc_id, length (words), bucket, bucket_length, batch and slot of each row, and the other columns but the text."""
     outputs = ("length", "bucket", "bucket_length", "batch", "slot")
     others = [c for c in docs.columns if c not in (text, *outputs)]
-    slim = docs.select(*others, common.word_count(F.col(text)).alias("length"), F.xxhash64("doc_id", common.text_or_empty(text)).alias("_hash"))
-    slim = common.materialize(slim, "pack-lengths")
+    slim = docs.select(F.struct(*others).alias("row"), common.word_count(F.col(text)).alias("length"), F.xxhash64("doc_id", common.text_or_empty(text)).alias("_hash"))
+    slim = common.hold(slim)
     limits = best_limits(*histogram(slim), buckets)
     if not limits:
-        return slim.select(*others, "length", *(F.lit(0).cast("long").alias(c) for c in outputs[1:]))
+        return slim.select("row.*", "length", *(F.lit(0).cast("long").alias(c) for c in outputs[1:]))
     bucket = sum((F.when(F.col("length") > x, 1).otherwise(0) for x in limits[:-1]), F.lit(0)).cast("long")
     ranges = max(64, slim.count() // RANGE_ROWS)
     in_range = F.floor((F.col("_hash").cast("double") / 2.0**64 + 0.5) * ranges)
@@ -95,12 +95,12 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, text: st
     counts = rows.groupBy("bucket", "_range").agg(F.count("*").alias("n"))
     before = Window.partitionBy("bucket").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    order = Window.partitionBy("bucket", "_range").orderBy("_hash", "doc_id")
+    order = Window.partitionBy("bucket", "_range").orderBy("_hash", "row.doc_id")
     placed = rows.withColumn("_place", F.row_number().over(order) - 1).join(offsets, ["bucket", "_range"]).withColumn("_place", F.col("_place") + F.col("_before"))
     limit = F.element_at(F.array(*(F.lit(x).cast("long") for x in limits)), (F.col("bucket") + 1).cast("int"))
     holds = F.greatest(F.floor(F.lit(budget) / F.greatest("bucket_length", F.lit(1))), F.lit(1))
     placed = placed.withColumn("bucket_length", limit)
-    return placed.select(*others, "length", "bucket", "bucket_length", F.floor(F.col("_place") / holds).alias("batch"), (F.col("_place") % holds).alias("slot"))
+    return placed.select("row.*", "length", "bucket", "bucket_length", F.floor(F.col("_place") / holds).alias("batch"), (F.col("_place") % holds).alias("slot"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,9 +108,11 @@ def evidence(model: Model | float) -> Callable[[Column], Column]:
     @F.arrow_udf("long")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
-            p = np.full(len(texts), model) if isinstance(model, float) else model(_expand(_measured(texts)))
-            yield pa.array(np.rint(np.clip(p, 1e-6, 1 - 1e-6) * MILLION).astype(np.int64))
+            found = [np.empty(0)]
+            for at in range(0, len(batch), 256):
+                texts = [t or "" for t in batch.slice(at, 256).to_pylist()]
+                found.append(np.full(len(texts), model) if isinstance(model, float) else model(_expand(_measured(texts))))
+            yield pa.array(np.rint(np.clip(np.concatenate(found), 1e-6, 1 - 1e-6) * MILLION).astype(np.int64))
 
     return scored
 
@@ -151,7 +153,7 @@ def _strength(groups: DataFrame, prior: str) -> Column:
 
 def site_rates(scored: DataFrame) -> DataFrame:
     """Rates of hosts and paths from (host, path, p in millionths): host, path, n, good, prior, host_rate, host_k, path_rate, path_k."""
-    paths = common.materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), (F.sum("p") / MILLION).alias("good")), "site-paths")
+    paths = common.hold(scored.groupBy("host", "path").agg(F.count("*").alias("n"), (F.sum("p") / MILLION).alias("good")))
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     prior = (total["good"] + 1) / (total["n"] + 2) if total["n"] else 0.5
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("prior", F.lit(float(prior)))
@@ -163,28 +165,26 @@ def site_rates(scored: DataFrame) -> DataFrame:
 
 
 def with_posterior(docs: DataFrame, model: Model | float, host: Column, path: Column, text: str = "text") -> DataFrame:
-    """``docs`` with _p, _host_rate, _path_rate and _posterior; the texts are not shuffled when the sites' table is small."""
-    named = docs.withColumns({"_host": F.coalesce(host, F.lit("")), "_path": F.coalesce(path, F.lit(""))})
-    score = evidence(model)
-    slim = common.materialize(named.select(F.col("_host").alias("host"), F.col("_path").alias("path"), score(F.col(text)).alias("p")), "evidence")
-    sites = common.materialize(site_rates(slim).select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("n").alias("_n"), F.col("good").alias("_good"), F.col("prior").alias("_prior"), F.col("host_rate").alias("_host_rate"), F.col("path_k").alias("_k"), F.col("path_rate").alias("_path_rate")), "sites")
-    joined = named.withColumn("_p", score(F.col(text)) / MILLION).join(sites, ["_host", "_path"])
-    others = (F.col("_good") - F.col("_p") + F.col("_k") * F.col("_host_rate")) / (F.col("_n") - 1 + F.col("_k"))
-    z = _logit(F.col("_p")) + _logit(F.least(F.greatest(others, F.lit(1e-6)), F.lit(1 - 1e-6))) - _logit(F.col("_prior"))
-    return joined.withColumn("_posterior", 1 / (1 + F.exp(-z)))
+    """The rows of ``docs`` as ``row``, with p, host_rate, path_rate and posterior; the texts are not shuffled when the sites' table is small."""
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), evidence(model)(F.col(text)).alias("p"))
+    with common.arrow_rows(docs.sparkSession, 1024):
+        sites = common.hold(site_rates(common.hold(named.select("host", "path", "p"))))
+    joined = named.withColumn("p", F.col("p") / MILLION).join(sites, ["host", "path"])
+    others = (F.col("good") - F.col("p") + F.col("path_k") * F.col("host_rate")) / (F.col("n") - 1 + F.col("path_k"))
+    z = _logit(F.col("p")) + _logit(F.least(F.greatest(others, F.lit(1e-6)), F.lit(1 - 1e-6))) - _logit(F.col("prior"))
+    return joined.select("row", "p", "host_rate", "path_rate", (1 / (1 + F.exp(-z))).alias("posterior"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't rejected, with its columns."""
-    return with_posterior(docs, train(docs, labels, text), F.col(host), F.concat_ws("/", host, path), text).where(F.col("_posterior") >= threshold).select(*docs.columns)
+    return with_posterior(docs, train(docs, labels, text), F.col(host), F.concat_ws("/", host, path), text).where(F.col("posterior") >= threshold).select("row.*")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table("documents")(spark, sf_dir).select("doc_id", "source", "lang", "text")
     model = train(docs, common.table("labels")(spark, sf_dir))
     found = with_posterior(docs, model, F.col("source"), F.concat_ws("/", "source", "lang"))
-    six = lambda c: F.round(c, 6)
-    return found.select("doc_id", six(F.col("_p")).alias("p_document"), six(F.col("_host_rate")).alias("host_rate"), six(F.col("_path_rate")).alias("path_rate"), six(F.col("_posterior")).alias("posterior"), (F.col("_posterior") >= THRESHOLD).alias("keep"))
+    return found.select("row.doc_id", F.round("p", 6).alias("p_document"), F.round("host_rate", 6).alias("host_rate"), F.round("path_rate", 6).alias("path_rate"), F.round("posterior", 6).alias("posterior"), (F.col("posterior") >= THRESHOLD).alias("keep"))
 
 
 QUERIES = {"op3_quality": op3_quality}

@@ -13,9 +13,9 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = quality.train(docs, labels.where("doc_id % 3 != 0"))
     held = docs.join(labels.where("doc_id % 3 = 0"), "doc_id")
-    found = quality.with_posterior(held, model, quality.F.col("source"), quality.F.col("lang")).select("quality", "_posterior").collect()
+    found = quality.with_posterior(held, model, quality.F.col("source"), quality.F.col("lang")).select("row.quality", "posterior").collect()
     good = np.array([r.quality for r in found])
-    kept = np.array([r._posterior for r in found]) >= quality.THRESHOLD
+    kept = np.array([r.posterior for r in found]) >= quality.THRESHOLD
     assert kept[good == 1].mean() > 0.99 and (~kept[good == 0]).mean() > 0.95
 
 
