@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,12 +78,17 @@ def tweak_json_labels(spark: SparkSession, source: str, out: str) -> None:
 
 
 def tweak_yolo_labels(spark: SparkSession, folder: str, strict: bool = False) -> None:
-    """Change leading digits in place; texts are read in full before any file is replaced."""
+    """Change leading digits in place: new texts go to a staging folder, then over the old ones, so no input is overwritten while it is read."""
     found = files.scan_labels(files.inventory(spark, folder))
     texts = labels.read_texts(spark, folder, found).where("text != ''")
     ends = F.regexp_extract_all("text", F.lit(r"[^\r\n]*(?:\r\n|\r|\n|\z)"), F.lit(0))
     changed = texts.select("path", F.array_join(F.transform(ends, lambda x: F.when(x == "", "").otherwise(filters.remap_leading(x, strict=strict))), "").alias("text"))
-    sinks.write_texts(spark.createDataFrame(changed.toArrow()) if changed.take(1) else changed, folder)
+    staging = f"_staging_{uuid.uuid4().hex}"
+    if sinks.write_texts(changed, f"{folder}/{staging}"):
+        staged = files.inventory(spark, f"{folder}/{staging}")
+        sinks.apply(sinks.plan(staged, F.concat(F.lit(staging + "/"), "path"), F.col("path"), "move"), folder)
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{staging}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def convert_color(spark: SparkSession, folder: str, seed: int = 0) -> int:

@@ -1,8 +1,9 @@
 """Sinks: plan tables, label files, manifests and image files.
 
 Copies, moves and new empty files are rows of a plan (src, dst, action) first;
-``apply`` carries them out through Hadoop's file systems, in the executors'
-order of no consequence, since a destination is written once.
+``apply`` carries them out.  Executors do the work, each row by itself, through
+Arrow's file systems (local, HDFS, S3, GCS by address); a file is written under
+another name first and then renamed, so a task that runs again does no harm.
 """
 
 from __future__ import annotations
@@ -45,33 +46,71 @@ def plan_variant_labels(labels: DataFrame, tags: tuple[str, ...]) -> DataFrame:
 
 
 def plan_moves(labels: DataFrame, folder: str) -> DataFrame:
-    """Moves into one flat folder; of files with one name the last by path stays, as if moved in turn."""
+    """Moves into one flat folder; of files with one name the last by path stays and the others go, as if moved in turn."""
     named = labels.withColumn("dst", F.concat(F.lit(folder + "/"), names.file_name("path")))
-    return plan(named, F.col("path"), F.col("dst"), "move")
+    last = named.groupBy("dst").agg(F.max_by("path", F.split("path", "/")).alias("last"))
+    action = F.when(F.col("path") == F.col("last"), "move").otherwise("remove")
+    return named.join(last, "dst").select(F.col("path").alias("src"), "dst", action.alias("action"))
+
+
+def _opened(root: str):
+    """A file system and the path of ``root`` in it; called in workers."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(root if "://" in root else f"file://{root}")
+
+
+def _replace(fs, path: str, data: bytes) -> None:
+    import os
+    import uuid
+
+    fs.create_dir(os.path.dirname(path), recursive=True)
+    part = f"{os.path.dirname(path)}/.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part) as f:
+        f.write(data)
+    fs.move(part, path)
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly, since a listing's rows come in few partitions and each is a file's work."""
+    return df.repartition(max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def apply(plan_rows: DataFrame, root: str, out: str | None = None) -> int:
-    """Carry out a plan below ``root``; returns the number of rows.
+    """Carry out a plan below ``root`` (destinations below ``out``, if given); returns the number of rows.
 
-    Rows stream to the driver partition by partition, in path order, and bytes
-    go from file system to file system: only names pass through Python.
+    A row whose source is gone and whose destination is there has been done
+    before, by an attempt that was lost.
     """
-    spark = plan_rows.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    make = jvm.org.apache.hadoop.fs.Path
-    fs = make(root).getFileSystem(conf)
-    n = 0
-    for r in plan_rows.orderBy(F.split("src", "/"), "dst").toLocalIterator():
-        dst = make(f"{out or root}/{r.dst}")
-        fs.mkdirs(dst.getParent())
-        if r.action == "touch":
-            fs.create(dst, False).close()
-        elif r.action in ("copy", "move"):
-            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, make(f"{root}/{r.src}"), fs, dst, r.action == "move", True, conf)
-        else:
-            raise ValueError(f"no such action: {r.action}")
-        n += 1
-    return n
+
+    def work(batches):
+        import os
+
+        import pandas as pd
+        from pyarrow.fs import FileType
+
+        fs, base = _opened(root)
+        _, target = _opened(out or root)
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                dst = f"{target}/{r.dst}"
+                if r.action == "touch":
+                    _replace(fs, dst, b"")
+                    continue
+                src = f"{base}/{r.src}"
+                if r.action == "remove":
+                    if fs.get_file_info(src).type != FileType.NotFound:
+                        fs.delete_file(src)
+                    continue
+                if r.action not in ("copy", "move"):
+                    raise ValueError(f"no such action: {r.action}")
+                if r.action == "move" and fs.get_file_info(src).type == FileType.NotFound and fs.get_file_info(dst).type != FileType.NotFound:
+                    continue
+                fs.create_dir(os.path.dirname(dst), recursive=True)
+                (fs.move if r.action == "move" else fs.copy_file)(src, dst)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return _spread(plan_rows.select("src", "dst", "action")).mapInPandas(work, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def box_lines(boxes: DataFrame) -> DataFrame:
@@ -99,27 +138,28 @@ def file_texts(rows: DataFrame, line_no: str = "line_no") -> DataFrame:
     return rows.groupBy("path").agg(F.concat(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
 
 
-def write_texts(texts: DataFrame, root: str, append: bool = False) -> None:
-    """Write (path, text) as files below ``root``, whole: to a temporary name first, then renamed."""
-    spark = texts.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    make = jvm.org.apache.hadoop.fs.Path
-    fs = make(root).getFileSystem(conf)
-    for r in texts.toLocalIterator():
-        dst = make(f"{root}/{r.path}")
-        fs.mkdirs(dst.getParent())
-        old = b""
-        if append and fs.exists(dst):
-            stream = fs.open(dst)
-            old = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-            stream.close()
-        part = make(f"{root}/{r.path}.part")
-        stream = fs.create(part, True)
-        stream.write(bytearray(old + r.text.encode()))
-        stream.close()
-        if fs.exists(dst):
-            fs.delete(dst, False)
-        fs.rename(part, dst)
+def write_texts(texts: DataFrame, root: str, append: bool = False) -> int:
+    """Write (path, text) as files below ``root``, each whole; returns how many.
+
+    ``append`` adds to files that are there; a task that runs again would add
+    twice, so each text should hold all that its file gets in a run.
+    """
+
+    def work(batches):
+        import pandas as pd
+        from pyarrow.fs import FileType
+
+        fs, base = _opened(root)
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                path, old = f"{base}/{r.path}", b""
+                if append and fs.get_file_info(path).type != FileType.NotFound:
+                    with fs.open_input_stream(path) as f:
+                        old = f.read()
+                _replace(fs, path, old + r.text.encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return _spread(texts.select("path", "text")).mapInPandas(work, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def write_manifest(paths: DataFrame, root: str, file: str) -> None:
@@ -135,20 +175,14 @@ def write_pngs(images: DataFrame, root: str) -> int:
     """Write images (out, height, width, channels, data) as PNG files below ``root``, by the executors; returns how many."""
 
     def work(batches):
-        import os
-
         import pandas as pd
-        from pyarrow.fs import FileSystem
 
         from lumenframe.functions import pixels
 
-        fs, base = FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        fs, base = _opened(root)
         for batch in batches:
             for r in batch.itertuples(index=False):
-                at = f"{base}/{r.out}"
-                fs.create_dir(os.path.dirname(at), recursive=True)
-                with fs.open_output_stream(at) as f:
-                    f.write(pixels.png(pixels.to_array(r.data, r.height, r.width, r.channels)))
+                _replace(fs, f"{base}/{r.out}", pixels.png(pixels.to_array(r.data, r.height, r.width, r.channels)))
             yield pd.DataFrame({"n": [len(batch)]})
 
     return images.select("out", "height", "width", "channels", "data").mapInPandas(work, "n long").agg(F.sum("n")).first()[0] or 0

@@ -81,7 +81,10 @@ def test_converter(spark, tmp_path):
 def test_moves_and_remaps(spark, tmp_path):
     put(f"{tmp_path}/labels/p/a.txt", "2 x\n 1 y\n")
     put(f"{tmp_path}/labels/b.txt", "5 x\r\n23 z\r\n")
-    assert commands.move_labels(spark, str(tmp_path)) == 1
+    put(f"{tmp_path}/labels/a.txt", "0 first\n")
+    assert commands.move_labels(spark, str(tmp_path)) == 2
+    with open(f"{tmp_path}/other_classes/a.txt") as f:
+        assert f.read() == "2 x\n 1 y\n"
     assert tree(tmp_path) == ["labels/b.txt", "other_classes/a.txt"]
     commands.tweak_yolo_labels(spark, f"{tmp_path}/labels")
     with open(f"{tmp_path}/labels/b.txt", newline="") as f:
