@@ -204,7 +204,6 @@ def repair_conversations(turns: DataFrame) -> DataFrame:
 
     matrices = pieces(ordered, "conv", "part", "at", "role").mapInArrow(costs, "conv string, part int, costs array<long>")
     solved = matrices.repartition(n, "conv").sortWithinPartitions("conv", "part").mapInArrow(states, "conv string, part int, enter int, leave int, last boolean")
-    solved = common.materialize(solved, "chat-states")
     both = pieces(ordered.join(solved, ["conv", "part"]), "conv", "part", "at", "conv_id", "turn", "role", "text", "enter", "leave", "last")
     return both.mapInArrow(repaired, RESULT)
 

@@ -125,7 +125,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, c: Curves = Curves
     n, total, most = classes.select(square.alias("s")).agg(F.count("*"), F.sum("s"), F.max("s")).first()
     if not n:
         return empty
-    queries = common.materialize(rows.where(F.col("vec_id") % every == 0).distinct().join(classes.select("vector", "cid"), "vector").select(F.col("vec_id").alias("query_id"), "cid"), "ann-queries")
+    queries = common.hold(rows.where(F.col("vec_id") % every == 0).distinct().join(classes.select("vector", "cid"), "vector").select(F.col("vec_id").alias("query_id"), "cid"))
     asking = queries.select("cid").distinct().withColumn("asks", F.lit(True))
     searched = classes.join(asking, "cid", "left").select("cid", "vector", F.coalesce("asks", F.lit(False)).alias("asks"), F.col("ids")[0].alias("first_id"))
     scale = float(np.sqrt(total / n / dim)) or 1.0
@@ -189,7 +189,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, c: Curves = Curves
     top = merged.join(ids, "cid").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     each = top.select("query", "score", F.explode("ids").alias("vec_id"))
     each = each.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
-    lists = common.materialize(each.select(F.col("query").alias("cid"), "score", "vec_id"), "ann-lists")
+    lists = each.select(F.col("query").alias("cid"), "score", "vec_id")
     answers = queries.join(lists, "cid").where("vec_id != query_id")
     final = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return final.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
