@@ -28,7 +28,9 @@ def test_search(spark):
     words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(300)]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))).replace("w1 ", "É ")) for i in range(400)] + [(None, "w5 w6"), (401, None), (50, "w7 w7 w7"), (402, "w9 " * 2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    df, n, mean = search.statistics(docs)
+    index = search.build_index(docs, shard_words=1500)
+    assert index.count() > 2
+    df, n, mean = search.statistics(index)
     queries = search.keyword_queries(docs.where("doc_id % 50 = 0"), df, n, 6)
     counts = {}
     for d, t in rows:
@@ -41,9 +43,8 @@ def test_search(spark):
         text = [w for d, t in rows if d == q for w in (t or "").encode().lower().split()]
         order = sorted(set(text), key=lambda w: (-round(text.count(w) * idf[w], 6), w))[:6]
         wanted[q] = [(w, idf[w]) for w in order]
-    index = search.build_index(docs, mean, shard_docs=64)
     found = {}
-    for r in search.top_k(index, queries, 5).orderBy("query_id", "rank").collect():
+    for r in search.top_k(index, queries, mean, 5).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append((-r.score, r.doc_id))
     assert found == {q: v for q, v in best(rows, wanted, 5).items() if v}
 
@@ -53,22 +54,25 @@ def test_pruned_search_is_exact():
     n, terms = 3000, 40
     docs, which = np.nonzero(rng.random((n, terms)) < rng.random(terms) ** 3)
     tf = rng.integers(1, 6, len(docs))
-    index = search.Index.load(search.Index.build(np.arange(n) * 3, docs, which.astype(np.int64), tf, rng.integers(5, 90, n), 40.0, search.Bm25()).dump())
+    lengths = rng.integers(5, 90, n)
+    built = search.Index.build(np.arange(n) * 3, docs, which.astype(np.int64), tf, lengths)
+    index = search.Index.load(built.terms, built.dump())
     for _ in range(40):
         query = [(int(t), float(i)) for t, i in zip(rng.choice(terms, 6, replace=False), rng.choice([0.1, 1, 1, 5], 6), strict=True)]
         scores = {}
         for t, idf in query:
-            for d, share in zip(*(index.postings(t) or ((), ())), strict=True):
-                scores[d] = scores.get(d, 0.0) + share * idf
+            for d, f in zip(docs[which == t], tf[which == t], strict=True):
+                scores[d] = scores.get(d, 0.0) + idf * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * lengths[d] / 40.0)))
         wanted = sorted(((-round(s, 6), int(d) * 3) for d, s in scores.items()))[:7]
-        assert [(-s, d) for s, d in index.top(query, 7)] == wanted
+        assert [(-s, d) for s, d in index.top(query, 7, 40.0, search.Bm25())] == wanted
 
 
 def test_empty_search(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    df, n, mean = search.statistics(docs)
+    index = search.build_index(docs)
+    df, n, mean = search.statistics(index)
     assert (n, mean) == (0, 0.0)
-    assert search.top_k(search.build_index(docs, mean), search.keyword_queries(docs, df, n)).count() == 0
+    assert search.top_k(index, search.keyword_queries(docs, df, n), mean).count() == 0
 
 
 def test_hilbert_curve_is_one():
