@@ -1,16 +1,20 @@
-"""Approximate nearest neighbours by shifted space-filling curves.
-
-Equal vectors become one class first.  Each curve turns the classes by its own
-random rotation, keeps a few coordinates, shifts the grid, and orders them
-along a Hilbert curve; Spark range-partitions that order.  A query looks at the
-classes within ``window`` places of its own on each curve.  The windows of all
-curves merge, and the nearest by the exact inner product are kept.
-
-Vectors without structure give a curve little to hold on to, so recall is set
-by the share of the table that windows cover; ``share`` is that of one side of
-one curve's window.  Norms may differ: candidates get one more coordinate that
-makes their norms equal, queries a zero, so the largest inner product is the
-nearest point.
+"""Nearest neighbours by the largest inner product, exact or by shifted space-filling curves.
+
+Equal vectors become one class first.  A query could look at the classes within
+a window of places around its own on each of several curves; where these
+windows together hold as much as the table itself, as with the default
+``share``, every query is compared with every class instead, block by block:
+that is exact, for any norms, and less work.
+
+With a smaller ``share`` (that of one side of one curve's window) classes are
+split into bands of like norm, each with its own curves and windows, so a long
+vector changes nothing for the others.  A band that its windows would cover
+joins the classes that are compared with every query.  Each curve turns the
+directions of a band by its own random rotation, keeps a few coordinates,
+shifts the grid, and orders them along a Hilbert curve; Spark range-partitions
+that order.  The windows of all curves and bands merge, and the nearest by the
+exact inner product are kept.  Recall then follows from the share, and from the
+structure of the vectors.
 
 Defined cases: vectors that are null, zero, of a length that isn't the most
 common one, or that hold null or non-finite components take no part, nor do
@@ -43,6 +47,14 @@ class Curves:
     block_queries: int = 16384
     seed: int = 3
 
+    def window(self, n: int, k: int) -> int:
+        """Places on each side of a query among ``n`` classes."""
+        return max(self.least_window, int(np.ceil(self.share * n)), k + 1)
+
+    def covers(self, n: int, k: int) -> bool:
+        """Whether the windows of all curves hold as many places as there are classes."""
+        return 2 * self.curves * self.window(n, k) >= n
+
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Places on the Hilbert curve of rows of grid cells, each coordinate below 2**bits.
@@ -122,45 +134,70 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, c: Curves = Curves
     classes = smallest.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     classes = common.materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "ann-classes")
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    n, total, most = classes.select(square.alias("s")).agg(F.count("*"), F.sum("s"), F.max("s")).first()
+    # Norms in a band differ by a factor of 2 ** 0.25 at most.
+    banded = classes.withColumn("band", F.round(2 * F.log2(F.least(F.greatest(square, F.lit(1e-300)), F.lit(1e300)))).cast("int"))
+    sizes = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}
+    n = sum(sizes.values())
     if not n:
         return empty
+    wide = {} if c.covers(n, k) else {band: size for band, size in sorted(sizes.items()) if not c.covers(size, k)}
+    # Curve 0 is no curve: its classes are compared with every query.
+    first_curve = {band: 1 + at * c.curves for at, band in enumerate(wide)}
     queries = common.hold(rows.where(F.col("vec_id") % every == 0).distinct().join(classes.select("vector", "cid"), "vector").select(F.col("vec_id").alias("query_id"), "cid"))
     asking = queries.select("cid").distinct().withColumn("asks", F.lit(True))
-    searched = classes.join(asking, "cid", "left").select("cid", "vector", F.coalesce("asks", F.lit(False)).alias("asks"), F.col("ids")[0].alias("first_id"))
-    scale = float(np.sqrt(total / n / dim)) or 1.0
-    bits = min(c.bits, 62 // min(c.coordinates, dim + 1))
+    searched = banded.join(asking, "cid", "left").select("cid", "vector", F.coalesce("asks", F.lit(False)).alias("asks"), F.col("ids")[0].alias("first_id"), "band")
+    bits = min(c.bits, 62 // min(c.coordinates, dim))
 
     def curves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frames = curve_frame(dim + 1, c)
+        frames = curve_frame(dim, c) if wide else []
+
+        def rows(batch: pa.RecordBatch, curve: np.ndarray, keys: np.ndarray, role: int, chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(keys):
+                some = batch.filter(pa.array(chosen))
+                yield pa.RecordBatch.from_arrays([pa.array(curve, pa.int32()), pa.array(keys, pa.int64()), pa.array(np.full(len(keys), role), pa.int32()), some.column(0), some.column(3), some.column(1)], names=["curve", "key", "role", "cid", "first_id", "vector"])
+
         for batch in batches:
-            x = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim) if batch.num_rows else np.empty((0, dim))
-            lift = np.sqrt(np.maximum(0, most - (x * x).sum(1)))
-            as_candidate, as_query = np.column_stack([x, lift]), np.column_stack([x, 0 * lift])
+            if not batch.num_rows:
+                continue
             asks = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            first = np.array([first_curve.get(band, 0) for band in batch.column(4).to_pylist()])
+            whole = np.zeros(len(asks), np.int64)
+            for role, chosen in ((0, first == 0), (1, asks)):
+                yield from rows(batch, whole[chosen], whole[chosen], role, chosen)
+            if not wide:
+                continue
+            x = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+            x /= np.abs(x).max(1, keepdims=True)
+            x /= np.sqrt((x * x).sum(1, keepdims=True))
             for curve, frame in enumerate(frames):
-                for role, points, chosen in ((0, as_candidate, np.ones(len(x), bool)), (1, as_query, asks)):
-                    some = batch.filter(pa.array(chosen))
-                    keys = place(points[chosen], frame, scale, bits)
-                    if len(keys):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), curve), pa.int32()), pa.array(keys, pa.int64()), pa.array(np.full(len(keys), role), pa.int32()), some.column(0), some.column(3), some.column(1)], names=["curve", "key", "role", "cid", "first_id", "vector"])
+                keys = place(x, frame, 1 / np.sqrt(dim), bits)
+                chosen = first > 0
+                yield from rows(batch, first[chosen] + curve, keys[chosen], 0, chosen)
+                for start in first_curve.values():
+                    yield from rows(batch, whole[asks] + start + curve, keys[asks], 1, asks)
 
-    placed = searched.select("cid", "vector", "asks", "first_id").mapInArrow(curves, "curve int, key long, role int, cid long, first_id long, vector array<double>")
+    placed = searched.mapInArrow(curves, "curve int, key long, role int, cid long, first_id long, vector array<double>")
     ordered = placed.repartitionByRange(common.shuffle_partitions(spark), "curve", "key", "cid").withColumn("part", F.spark_partition_id())
     ordered = common.materialize(ordered, "ann-curves")
     counts = ordered.groupBy("curve", "part").agg(F.sum(1 - F.col("role")).alias("n"))
     before = counts.select("curve", "part", F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     # Queries take the place of the candidates up to them.
     inside = F.sum(1 - F.col("role")).over(Window.partitionBy("curve", "part").orderBy("key", "cid", "role").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = ordered.withColumn("at", inside).join(before, ["curve", "part"]).withColumn("at", F.col("at") + F.col("before") - 1)
-    window = max(c.least_window, int(np.ceil(c.share * n)))
-    last = (n - 1) // c.block_rows
-    chunks = int(np.ceil(queries.select("cid").distinct().count() / n * (c.block_rows + 2 * window) / c.block_queries)) or 1
+    asked = queries.select("cid").distinct().count()
+    plans = []
+    for start, size, window in [(0, n - sum(wide.values()), n), *((first_curve[band], size, c.window(size, k)) for band, size in wide.items())]:
+        # Where every query meets every block, smaller blocks spread a small table.
+        block_rows = c.block_rows if start else min(c.block_rows, max(256, -(-size // common.shuffle_partitions(spark))))
+        chunks = int(np.ceil(asked * min(1, (block_rows + 2 * window) / max(1, size)) / c.block_queries)) or 1
+        plans += [(start + curve, window, block_rows, (size - 1) // block_rows, chunks) for curve in range(c.curves if start else 1) if size]
+    plan = spark.createDataFrame(plans, "curve int, window long, block_rows long, last long, chunks int")
+    ranked = ordered.withColumn("at", inside).join(before, ["curve", "part"]).join(plan, "curve").withColumn("at", F.col("at") + F.col("before") - 1)
+    low, high = (F.floor(at / F.col("block_rows")) for at in (F.greatest(F.col("at") - F.col("window"), F.lit(0)), F.col("at") + F.col("window")))
     blocks = ranked.withColumns(
         {
-            "block": F.explode(F.when(F.col("role") == 0, F.array(F.floor(F.col("at") / c.block_rows))).otherwise(F.sequence(F.floor(F.greatest(F.col("at") - window, F.lit(0)) / c.block_rows), F.least(F.floor((F.col("at") + window) / c.block_rows), F.lit(last))))),
+            "block": F.explode(F.when(F.col("role") == 0, F.array(F.floor(F.col("at") / F.col("block_rows")))).otherwise(F.sequence(low, F.least(high, F.col("last"))))),
         }
-    ).withColumn("chunk", F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.lit(chunks - 1))).otherwise(F.array(F.pmod(F.xxhash64("cid"), F.lit(chunks)).cast("int")))))
+    ).withColumn("chunk", F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")))))
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         asked = rows[rows.role == 1]
@@ -172,7 +209,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, c: Curves = Curves
             for part in np.array_split(np.arange(len(asked)), -(-len(asked) // 512)):
                 wanted = np.stack(asked.vector.to_numpy()[part])
                 near = wanted @ points.T
-                near[np.abs(asked["at"].to_numpy()[part][:, None] - at) > window] = -np.inf
+                near[np.abs(asked["at"].to_numpy()[part][:, None] - at) > asked.window.iat[0]] = -np.inf
                 width = min(k + 12, len(held))
                 chosen = np.argpartition(-near, width - 1, axis=1)[:, :width]
                 for row, query, cid, values in zip(chosen, wanted, asked.cid.to_numpy()[part], near, strict=True):
@@ -182,7 +219,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, c: Curves = Curves
                     out.append(pd.DataFrame({"query": cid, "cid": cids[row][order], "score": score[order]}))
         return pd.concat(out) if out else pd.DataFrame({"query": [], "cid": [], "score": []}).astype({"query": "int64", "cid": "int64", "score": "float64"})
 
-    found = blocks.groupBy("curve", "block", "chunk").applyInPandas(search, "query long, cid long, score double")
+    # A given number of partitions isn't merged into few tasks for the small size of their rows.
+    spread = blocks.repartition(common.shuffle_partitions(spark), "curve", "block", "chunk")
+    found = spread.groupBy("curve", "block", "chunk").applyInPandas(search, "query long, cid long, score double")
     merged = found.groupBy("query", "cid").agg(F.max("score").alias("score"))
     ids = classes.select("cid", "ids", F.col("ids")[0].alias("first_id"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "first_id")

@@ -122,3 +122,26 @@ def test_recall(spark):
         hit += len(found[q] & set(np.argsort(-s)[:20].tolist()))
         total += 20
     assert hit / total >= 0.9
+
+
+def norms_of(kind, rng, n):
+    return {"outlier": np.where(np.arange(n) == 7, 100.0, 1.0), "heavy": np.minimum(rng.pareto(1.5, n) + 1, 1e4), "wide": 10.0 ** rng.uniform(-6, 6, n)}[kind]
+
+
+@pytest.mark.parametrize("kind", ["outlier", "heavy", "wide"])
+@pytest.mark.parametrize(("share", "least"), [(0.06, 1.0), (0.03, 0.9)])
+def test_recall_with_unequal_norms(spark, kind, share, least):
+    """The default share is exact; with a smaller one the longest vectors don't decide for the others."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 32)) @ np.diag(0.85 ** np.arange(32))
+    x *= (norms_of(kind, rng, 6000) / np.sqrt((x * x).sum(1)))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(df, 100, 20, neighbours.Curves(share=share, least_window=1)).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 6000, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit / 1200 >= least
