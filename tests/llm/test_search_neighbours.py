@@ -145,3 +145,19 @@ def test_recall_with_unequal_norms(spark, kind, share, least):
         s[q] = -np.inf
         hit += len(found[q] & set(np.argsort(-s)[:20].tolist()))
     assert hit / 1200 >= least
+
+
+@pytest.mark.parametrize("least", [1, 1000])
+def test_default_share_misses_nothing(spark, least):
+    """Whatever the least window is, vectors without structure have all their neighbours found."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12000, 32))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(df, 400, 20, neighbours.Curves(least_window=least)).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in range(0, 12000, 400):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert found[q] == set(np.argsort(-s)[:20].tolist())
