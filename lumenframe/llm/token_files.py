@@ -174,7 +174,9 @@ class Encoder:
     characters.  The pre-tokenizer always starts a new token at such a blank,
     so the ids of a text are those of its units.  ``keep`` bounds the units
     remembered.  New units are encoded together: each that starts with its only
-    blank gives one token that starts with the blank mark, its first.
+    blank, before a visible character, gives one token that starts with the
+    blank mark, its first.  All others are encoded alone, as white space may
+    join that of the next unit.
     """
 
     def __init__(self, vocabulary: str = BYTE_MODEL, keep: int = 1_200_000):
@@ -204,7 +206,7 @@ class Encoder:
         plain: list[str] = []
         odd: list[str] = []
         for u in new:
-            (plain if u[:1] == " " and u.find(" ", 1) < 0 else odd).append(u)
+            (plain if u[:1] == " " and len(u) > 1 and u.find(" ", 1) < 0 and not u[1].isspace() else odd).append(u)
         joined = self._ids(["".join(plain[at : at + together]) for at in range(0, len(plain), together)])
         flat = np.concatenate([np.array(ids, np.uint32) for ids in joined] or [np.empty(0, np.uint32)])
         begins = np.flatnonzero(self.starts[flat])

@@ -59,6 +59,24 @@ def test_units_have_the_ids_of_whole_texts(texts):
 ENCODER = token_files.Encoder(keep=50)
 
 
+def test_units_of_no_break_spaces_stay_apart():
+    encoder = token_files.Encoder()
+    texts = ["".join(" " + "\xa0" * k for k in range(1, 30)), " a \xa0 \xa0\xa0 b", "\xa0 \xa0", " \u3000 \u2003 \x85", " "]
+    units = [" a", " \xa0", " \xa0\xa0", " b", " "]
+    encoder._learn(dict.fromkeys(units))
+    for unit in units:
+        assert encoder._gather(np.array([encoder.known[unit]]))[0].tolist() == encoder.tokenizer.encode(unit, add_special_tokens=False).ids
+    assert encoder.encode(pa.array(texts))[0].tolist() == [i for t in texts for i in [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 0]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"ab .\n\xa0\u3000\x85", " \xa0", "  "]), max_size=60).map("".join), max_size=5))
+def test_units_with_other_white_space(texts):
+    ENCODER.forget()
+    ids, _ = ENCODER.encode(pa.array(texts, pa.string()))
+    assert ids.tolist() == [i for t in texts for i in [*ENCODER.tokenizer.encode(t, add_special_tokens=False).ids, 0]]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 40), st.integers(0, 2**32 - 1)), max_size=300), st.integers(0, 310), st.integers(0, 310), st.sampled_from([0.5, 0.9, 1.0]))
 def test_blocks_round_trip(values, a, b, percentile):
