@@ -14,6 +14,8 @@ and each piece is then repaired by itself between its two states.
 
 Among repairs of equal cost, the one whose choices come first in the order
 keep, merge, relabel, with and without insertions, from the last turn back.
+Pieces hand on how their states rank by this rule, so it holds wherever a
+conversation is cut.
 
 Defined cases: a null text is empty; roles are compared in lower case without
 blanks at either end, with a few synonyms, and any other or null role must be
@@ -73,18 +75,28 @@ def role_of(name: str | None) -> int | None:
 
 
 def piece_costs(roles: list[int | None]) -> list[int]:
-    """Least costs from each state (rows) to each (columns) over consecutive turns."""
-    rows = []
-    for start in range(4):
-        now = [0 if s == start else FAR for s in range(4)]
-        for role in roles:
-            new = [FAR] * 4
-            for a, b, cost, *_ in CHOICES[role]:
+    """Least costs from each state (rows) to each (columns) over consecutive turns, then how the states rank.
+
+    The rank of a state before the turns, for a state after them, follows the
+    choices of its cheapest repair, from the last turn back.
+    """
+    costs = [[0 if s == start else FAR for s in range(4)] for start in range(4)]
+    ranks = [[0] * 4 for _ in range(4)]
+    for role in roles:
+        # By start and state: the place of the last choice, and the rank before it.
+        keys = [[(FAR, 0)] * 4 for _ in range(4)]
+        for start in range(4):
+            now, new = costs[start], [FAR] * 4
+            for place, (a, b, cost, *_) in enumerate(CHOICES[role]):
                 if now[a] + cost < new[b]:
                     new[b] = now[a] + cost
-            now = new
-        rows += now
-    return rows
+                    keys[start][b] = (place, ranks[start][a])
+            costs[start] = new
+        ranks = [[0] * 4 for _ in range(4)]
+        for b in range(4):
+            for rank, start in enumerate(sorted(range(4), key=lambda start, b=b: keys[start][b])):
+                ranks[start][b] = rank
+    return [x for rows in (costs, ranks) for row in rows for x in row]
 
 
 def repair(roles: list[int | None], enter: int = START, leave: int | None = None) -> list[Choice]:
@@ -105,14 +117,14 @@ def repair(roles: list[int | None], enter: int = START, leave: int | None = None
 
 
 def piece_states(pieces: list[list[int]]) -> list[tuple[int, int]]:
-    """The states that each piece of a conversation enters and leaves by, on a cheapest repair."""
+    """The states that each piece of a conversation enters and leaves by, on the repair that ``repair`` gives the whole of it."""
     costs = [[0, FAR, FAR, FAR]]
     for m in pieces:
         costs.append([min(costs[-1][a] + m[4 * a + b] for a in range(4)) for b in range(4)])
     state = min(range(4), key=lambda s: costs[-1][s] + CLOSING[s][0])
     found = []
     for k in range(len(pieces) - 1, -1, -1):
-        before = next(a for a in range(4) if costs[k][a] + pieces[k][4 * a + state] == costs[k + 1][state])
+        before = min((a for a in range(4) if costs[k][a] + pieces[k][4 * a + state] == costs[k + 1][state]), key=lambda a: pieces[k][16 + 4 * a + state])  # noqa: B023
         found.append((before, state))
         state = before
     return found[::-1]

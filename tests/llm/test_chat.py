@@ -67,3 +67,37 @@ def test_conversations(spark):
     assert text[None].count("<|im_end|>") == 2
     assert sum(r.action != "insert" and r.action != "end" for r in found if r.conv_id == 3) == 2
     assert chat.repair_conversations(turns.limit(0)).count() == 0
+
+
+def test_pieces_choose_the_same():
+    def cut(roles, cuts):
+        pieces = [roles[a:b] for a, b in itertools.pairwise(cuts)]
+        states = chat.piece_states([chat.piece_costs(p) for p in pieces])
+        return [c for p, (enter, leave) in zip(pieces, states, strict=True) for c in chat.repair(p, enter, leave)]
+
+    users = [chat.USER] * 4
+    assert cut(users, [0, 3, 4]) == chat.repair(users)
+    for n in (2, 3, 4, 5):
+        for roles in itertools.product((None, 1, 2, 3), repeat=n):
+            whole = chat.repair(list(roles))
+            for at in range(1, n):
+                assert cut(list(roles), [0, at, n]) == whole, (roles, at)
+            assert cut(list(roles), list(range(n + 1))) == whole, roles
+    rng = random.Random(2)
+    for _ in range(300):
+        roles = [rng.choice((None, 1, 2, 2, 3)) for _ in range(rng.randint(5, 40))]
+        cuts = sorted({0, len(roles), *(rng.randint(0, len(roles)) for _ in range(4))})
+        assert cut(roles, cuts) == chat.repair(roles), (roles, cuts)
+
+
+def test_repair_does_not_depend_on_partitions(spark):
+    turns = spark.createDataFrame([(1, k, ("user", "assistant", "user", "user", "tool")[k * k % 5], str(k)) for k in range(60)], "conv_id long, turn long, role string, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in (1, 3, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(chat.repair_conversations(turns).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
