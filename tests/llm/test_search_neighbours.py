@@ -23,15 +23,17 @@ def best(rows, queries, k):
     return out
 
 
-def test_search(spark):
+@pytest.mark.parametrize("first", [1, 3, 16])
+def test_search(spark, first):
     rng = random.Random(1)
     words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(300)]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))).replace("w1 ", "É ")) for i in range(400)] + [(None, "w5 w6"), (401, None), (50, "w7 w7 w7"), (402, "w9 " * 2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     index = search.build_index(docs, shard_words=1500)
     assert index.count() > 2
-    df, n, mean = search.statistics(index)
-    queries = search.keyword_queries(docs.where("doc_id % 50 = 0"), df, n, 6)
+    n, mean = search.totals(index)
+    said = search.said_terms(docs.where("doc_id % 50 = 0"))
+    queries = search.keywords(said, search.document_frequencies(index, said), n, 6)
     counts = {}
     for d, t in rows:
         for w in set((t or "").encode().lower().split()) if d is not None else ():
@@ -44,7 +46,7 @@ def test_search(spark):
         order = sorted(set(text), key=lambda w: (-round(text.count(w) * idf[w], 6), w))[:6]
         wanted[q] = [(w, idf[w]) for w in order]
     found = {}
-    for r in search.top_k(index, queries, mean, 5).orderBy("query_id", "rank").collect():
+    for r in search.top_k(index, queries, mean, 5, first=first).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append((-r.score, r.doc_id))
     assert found == {q: v for q, v in best(rows, wanted, 5).items() if v}
 
@@ -56,7 +58,7 @@ def test_pruned_search_is_exact():
     tf = rng.integers(1, 6, len(docs))
     lengths = rng.integers(5, 90, n)
     built = search.Index.build(np.arange(n) * 3, docs, which.astype(np.int64), tf, lengths)
-    index = search.Index.load(built.terms, built.dump())
+    index = search.Searcher(search.Index.load(built.terms, built.dump()), 40.0, search.Bm25())
     for _ in range(40):
         query = [(int(t), float(i)) for t, i in zip(rng.choice(terms, 6, replace=False), rng.choice([0.1, 1, 1, 5], 6), strict=True)]
         scores = {}
@@ -64,15 +66,20 @@ def test_pruned_search_is_exact():
             for d, f in zip(docs[which == t], tf[which == t], strict=True):
                 scores[d] = scores.get(d, 0.0) + idf * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * lengths[d] / 40.0)))
         wanted = sorted(((-round(s, 6), int(d) * 3) for d, s in scores.items()))[:7]
-        assert [(-s, d) for s, d in index.top(query, 7, 40.0, search.Bm25())] == wanted
+        places, idf = index.places(np.array([t for t, _ in query])), np.array([i for _, i in query])
+        assert [(-s, d) for s, d in index.top(places, idf, 7)] == wanted
+        for floor in (-wanted[-1][0], -wanted[0][0], -wanted[0][0] + 1):
+            # Whatever reaches the floor is found, whole or not.
+            assert [(-s, d) for s, d in index.top(places, idf, 7, floor) if s >= floor] == [x for x in wanted if -x[0] >= floor]
 
 
 def test_empty_search(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     index = search.build_index(docs)
-    df, n, mean = search.statistics(index)
+    n, mean = search.totals(index)
     assert (n, mean) == (0, 0.0)
-    assert search.top_k(index, search.keyword_queries(docs, df, n), mean).count() == 0
+    said = search.said_terms(docs)
+    assert search.top_k(index, search.keywords(said, search.document_frequencies(index, said), n), mean).count() == 0
 
 
 def test_hilbert_curve_is_one():
