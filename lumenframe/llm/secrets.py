@@ -5,9 +5,14 @@ folder says which (blob, rule version) pairs have been scanned and what was
 found; a scan reads only pairs that it doesn't hold, appends them, and joins
 findings back to every row that has the blob.  All of it is native.
 
+A ledger may hold a pair twice, as after two scans at once, or only some pairs
+of a scan, as after a lost driver: what is read from it has each pair once, and
+the next scan finds what lacks.
+
 Defined cases: a null text is an empty one; repeated rows each get their blob's
-findings; an empty table gives an empty result; a column that is named like an
-output is replaced, and others stay.
+findings, once for each row; texts too short for any finding have no partner to
+meet, so however many they are, they spread; an empty table gives an empty
+result; a column that is named like an output is replaced, and others stay.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from lumenframe.llm import common
 SPAN = "struct<start: long, rank: int, end: long, kind: string>"
 #: Spans whose lengths are summed together when places are computed.
 CHUNK = 64
+#: No rule matches a text of fewer characters.
+SHORTEST = 12
 
 
 @dataclass(frozen=True)
@@ -94,11 +101,20 @@ def find_spans(df: DataFrame, rules: tuple[Rule, ...], text: str = "text") -> Da
     def chunk_sums(k: int) -> Column:
         return F.transform(chunks(k), lambda c: _sum(F.slice(f"_s{k}", c * CHUNK + 1, F.lit(CHUNK))))
 
+    def big_sums(k: int) -> Column:
+        """Sums of chunks of chunks."""
+        big = F.when(F.size(f"_c{k}") > 0, F.sequence(F.lit(0), ((F.size(f"_c{k}") - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(big, lambda c: _sum(F.slice(f"_c{k}", c * CHUNK + 1, F.lit(CHUNK))))
+
+    def before_big(k: int) -> Column:
+        return F.transform(F.col(f"_d{k}"), lambda _, i: _sum(F.slice(f"_d{k}", F.lit(1), i)))
+
     def before_chunks(k: int) -> Column:
-        return F.transform(F.col(f"_c{k}"), lambda _, i: _sum(F.slice(f"_c{k}", F.lit(1), i)))
+        inside = lambda i: _sum(F.slice(f"_c{k}", (i / CHUNK).cast("int") * CHUNK + 1, i % CHUNK))
+        return F.transform(F.col(f"_c{k}"), lambda _, i: F.get(f"_e{k}", (i / CHUNK).cast("int")) + inside(i))
 
-    df = df.withColumns({f"_c{k}": chunk_sums(k) for k in range(len(rules))})
-    df = df.withColumns({f"_b{k}": before_chunks(k) for k in range(len(rules))})
+    for name, made in (("_c", chunk_sums), ("_d", big_sums), ("_e", before_big), ("_b", before_chunks)):
+        df = df.withColumns({f"{name}{k}": made(k) for k in range(len(rules))})
 
     def spans(k: int, r: Rule) -> Column:
         def one(m: Column, i: Column) -> Column:
@@ -120,14 +136,17 @@ class BlobLedger:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def findings(self, version: str) -> DataFrame:
-        """All blobs scanned under ``version`` with what was found in each."""
+    def _held(self, version: str) -> DataFrame:
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
             return self.spark.createDataFrame([], self.SCHEMA)
         return self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("rule_version") == version)
 
+    def findings(self, version: str) -> DataFrame:
+        """All blobs scanned under ``version`` with what was found in each, one row for each."""
+        return self._held(version).dropDuplicates(["blob"])
+
     def unseen(self, rows: DataFrame, rules: RuleSet, text: str = "text") -> DataFrame:
         """One row (blob, text) for each blob of ``rows`` that wasn't scanned under these rules."""
         body = common.text_or_empty(text)
@@ -135,7 +154,7 @@ class BlobLedger:
         # Copies of a text meet in the map-side half of the aggregation, before any shuffle;
         # the anti join then has its rows where they are.
         once = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-        return once.join(self.findings(rules.version).select("blob"), "blob", "left_anti")
+        return once.join(self._held(rules.version).select("blob"), "blob", "left_anti")
 
     def scan(self, rows: DataFrame, rules: RuleSet = RULES, text: str = "text") -> DataFrame:
         """Scan what is unseen, add it to the ledger, and return ``rows`` with blob and spans."""
@@ -146,9 +165,13 @@ class BlobLedger:
     def attach(self, rows: DataFrame, rules: RuleSet = RULES, text: str = "text") -> DataFrame:
         """``rows`` with their blob and its spans; a blob without any needs no partner."""
         kept = [c for c in rows.columns if c not in ("blob", "spans")]
-        some = self.findings(rules.version).where(F.size("spans") > 0).select("blob", "spans")
-        addressed = rows.select(*kept, blob_id(F.col(text)).alias("blob"))
-        return addressed.join(some, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))).select(*kept, "blob", "spans")
+        # What has no spans needs no row, so copies of a pair are dropped among the others only.
+        some = self._held(rules.version).where(F.size("spans") > 0).dropDuplicates(["blob"]).select(F.col("blob").alias("_meets"), "spans")
+        blob = blob_id(F.col(text))
+        alone = F.concat(F.lit("alone "), F.monotonically_increasing_id().cast("string")).cast("binary")
+        meets = F.when(F.length(common.text_or_empty(text)) >= SHORTEST, blob).otherwise(alone)
+        addressed = rows.select(*kept, blob.alias("blob"), meets.alias("_meets"))
+        return addressed.join(some, "_meets", "left").withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))).select(*kept, "blob", "spans")
 
 
 def span_text(spans: Column) -> Column:

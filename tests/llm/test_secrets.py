@@ -53,6 +53,38 @@ def test_ledger_scans_only_what_is_new(spark):
     assert ledger.scan(two.limit(0)).count() == 0
 
 
+def test_ledger_with_doubled_and_missing_pairs(spark):
+    """Two scans at once append a pair twice; a lost driver leaves some pairs out, and files that no reader takes."""
+    path = common.scratch(spark, "ledger")
+    ledger = secrets.BlobLedger(spark, path)
+    docs = spark.createDataFrame([(1, "token=abcdef"), (2, "token=abcdef"), (3, "secret=ghijkl"), (4, "plain words without one"), (5, "")], "doc_id long, text string")
+    wanted = sorted((r.doc_id, len(r.spans)) for r in ledger.scan(docs).collect())
+    assert wanted == [(1, 1), (2, 1), (3, 1), (4, 0), (5, 0)]
+    held = spark.createDataFrame(spark.read.parquet(path).collect(), secrets.BlobLedger.SCHEMA)
+    held.write.mode("append").partitionBy("rule_version").parquet(path)
+    assert sorted((r.doc_id, len(r.spans)) for r in ledger.attach(docs).collect()) == wanted
+    assert ledger.findings("1").count() == 4 and ledger.unseen(docs, secrets.RULES).count() == 0
+    assert sorted((r.doc_id, len(r.spans)) for r in ledger.scan(docs).collect()) == wanted
+
+    other = common.scratch(spark, "ledger")
+    held.where(secrets.F.size("spans") == 0).write.partitionBy("rule_version").parquet(other)
+    held.write.parquet(f"{other}/_temporary/0/task")
+    lost = secrets.BlobLedger(spark, other)
+    assert lost.unseen(docs, secrets.RULES).count() == 2
+    assert sorted((r.doc_id, len(r.spans)) for r in lost.scan(docs).collect()) == wanted
+
+
+def test_very_many_matches(spark):
+    texts = [f"token=abcdef{k % 10} " * 20_000 for k in range(2)] + ["0123456789abcdef01234567 é " * 5_000]
+    assert [r.base for _, r in sorted(scanned(spark, texts).items())] == [plain(t) for t in texts]
+
+
+def test_shortest(spark):
+    """Every rule needs that many characters."""
+    for text in ("token=abcdef", "AKIA" + "A" * 16, "0" * 24, "-----BEGIN PRIVATE KEY-----", "ghp_" + "a" * 36):
+        assert len(text) >= secrets.SHORTEST and scanned(spark, [text])[0].every
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, f"é token={LONG} end AKIA{'B' * 16}"), (2, "plain")], "doc_id long, text string")
     found = secrets.BlobLedger(spark, common.scratch(spark, "ledger")).scan(docs)
