@@ -7,10 +7,10 @@ programming over the automaton's states finds the cheapest repair; the repaired
 turns are rendered in a plain marked-up form.
 
 A turn's choices are a matrix of least costs between states, and matrices
-combine by minimum and sum.  So a conversation longer than a partition is
-handled in pieces: rows are range-partitioned by conversation and turn, each
-piece gives its matrix, the pieces' states are solved over these small rows,
-and each piece is then repaired by itself between its two states.
+combine by minimum and sum.  So a long conversation is handled in pieces: rows
+are range-partitioned by conversation and turn and cut after ``PIECE_ROWS`` at
+most, each piece gives its matrix, the pieces' states are solved over these
+small rows, and each piece is then repaired by itself between its two states.
 
 Among repairs of equal cost, the one whose choices come first in the order
 keep, merge, relabel, with and without insertions, from the last turn back.
@@ -19,9 +19,11 @@ conversation is cut.
 
 Defined cases: a null text is empty; roles are compared in lower case without
 blanks at either end, with a few synonyms, and any other or null role must be
-relabelled; rows of one turn number come in the order of role and text, so
-repeated rows become turns that merge; a null conv_id is one conversation; an
-empty table gives an empty result; other columns are ignored.
+relabelled; rows of one turn number come in the order of role (null first),
+of the text's first ``PREFIX`` characters and of its SHA-256, wherever they lie,
+so repeated rows become turns that merge; a null conv_id is one conversation, a
+null turn comes first; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +42,12 @@ NAMES = {"system": SYSTEM, "developer": SYSTEM, "user": USER, "human": USER, "pr
 #: States from which a turn of a role may follow.
 BEFORE = {SYSTEM: (START,), USER: (START, SYSTEM, ASSISTANT), ASSISTANT: (USER,)}
 
+#: Rows of a piece, at most, as a power of two.
+PIECE_BITS = 15
+PIECE_ROWS = 1 << PIECE_BITS
+#: Characters of a text that order rows of one turn and role; texts alike in these come in the order of their SHA-256.
+PREFIX = 256
+
 MERGE, RELABEL, INSERT = 2, 3, 4
 FAR = 10**9
 
@@ -148,25 +156,42 @@ def _table(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-_COSTS = pa.schema([("conv", pa.string()), ("part", pa.int32()), ("costs", pa.list_(pa.int64()))])
-_STATES = pa.schema([("conv", pa.string()), ("part", pa.int32()), ("enter", pa.int32()), ("leave", pa.int32()), ("last", pa.bool_())])
-_TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("step", pa.int32()), ("role", pa.string()), ("action", pa.string()), ("cost", pa.int32()), ("segment", pa.string())])
-RESULT = "conv_id long, turn long, step int, role string, action string, cost int, segment string"
+_COSTS = pa.schema([("conv", pa.string()), ("piece", pa.int64()), ("costs", pa.list_(pa.int64())), ("first", pa.int64()), ("n_first", pa.int64()), ("final", pa.int64()), ("n_final", pa.int64())])
+_STATES = pa.schema([("conv", pa.string()), ("piece", pa.int64()), ("enter", pa.int32()), ("leave", pa.int32()), ("last", pa.bool_()), ("earlier", pa.int64())])
+_TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("step", pa.int64()), ("role", pa.string()), ("action", pa.string()), ("cost", pa.int32()), ("segment", pa.string())])
+COSTS = "conv string, piece long, costs array<long>, first long, n_first long, final long, n_final long"
+STATES = "conv string, piece long, enter int, leave int, last boolean, earlier long"
+RESULT = "conv_id long, turn long, step long, role string, action string, cost int, segment string"
 
 OPEN, CLOSE = "<|im_start|>{}\n", "<|im_end|>\n"
 
 
-def rendered(choices: list[Choice], turns: list[tuple[int | None, str]], last: bool) -> list[tuple]:
-    """Output rows (turn, step, role, action, cost, segment) of repaired turns (turn, text); segments in order make the conversation."""
+def earlier_rows(pieces: list[tuple[int | None, int, int | None, int]]) -> list[int]:
+    """For each piece (first turn, its rows, final turn, its rows) of a conversation, the rows of its first turn in pieces before."""
+    found, turn, n = [], None, 0
+    for k, (first, n_first, final, n_final) in enumerate(pieces):
+        found.append(n if k and first == turn else 0)
+        n = found[-1] + n_first if first == final else n_final
+        turn = final
+    return found
+
+
+def rendered(choices: list[Choice], turns: list[tuple[int | None, str]], last: bool, earlier: int = 0) -> list[tuple]:
+    """Output rows (turn, step, role, action, cost, segment) of repaired turns (turn, text); segments in order make the conversation.
+
+    The row at place n of its turn, ``earlier`` of which are in pieces before,
+    has step 2 n + 1, and a turn inserted before it 2 n.
+    """
     out = []
+    at, now = earlier - 1, turns[0][0] if turns else None
     for (turn, text), (before, _, cost, action, added, role) in zip(turns, choices, strict=True):
-        step = out[-1][1] + 1 if out and out[-1][0] == turn else 0
+        at, now = (at + 1 if turn == now else 0), turn
         shut = CLOSE if before != START else ""
         for other in added:
-            out.append((turn, step, ROLES[other], "insert", INSERT, shut + OPEN.format(ROLES[other])))
-            step, shut, cost = step + 1, CLOSE, cost - INSERT
+            out.append((turn, 2 * at, ROLES[other], "insert", INSERT, shut + OPEN.format(ROLES[other])))
+            shut, cost = CLOSE, cost - INSERT
         merged = action in ("merge", "relabel_merge")
-        out.append((turn, step, ROLES[role], action, cost, "\n" + text if merged else shut + OPEN.format(ROLES[role]) + text))
+        out.append((turn, 2 * at + 1, ROLES[role], action, cost, "\n" + text if merged else shut + OPEN.format(ROLES[role]) + text))
     if last and out:
         turn, step = out[-1][:2]
         for other in CLOSING[choices[-1][1]][1]:
@@ -176,47 +201,52 @@ def rendered(choices: list[Choice], turns: list[tuple[int | None, str]], last: b
     return out
 
 
-def repair_conversations(turns: DataFrame) -> DataFrame:
+def repair_conversations(turns: DataFrame, piece_bits: int = PIECE_BITS) -> DataFrame:
     """Repaired and rendered turns of (conv_id, turn, role, text): a row for each kept, merged, relabelled or inserted turn and each end.
 
-    Segments of a conversation, in order of turn and step (repeated turn
-    numbers as sorted), make its rendered form.
+    Segments of a conversation, in order of turn (null first) and step, make
+    its rendered form; (conv_id, turn, step) names a row.
     """
     spark = turns.sparkSession
     n = common.shuffle_partitions(spark)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", common.text_or_empty().alias("text"))
     rows = rows.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-    ordered = rows.repartitionByRange(n, "conv", "turn", "role", F.xxhash64("text")).sortWithinPartitions("conv", "turn", "role", "text")
-    ordered = common.materialize(ordered.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "chat-turns")
+    # The last key parts rows that are alike, of which any order will do.
+    order = ("conv", "turn", "role", "prefix", "digest", "copy")
+    rows = rows.withColumns({"prefix": F.substring("text", 1, PREFIX), "digest": F.unhex(F.sha2("text", 256)), "copy": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ordered = common.materialize(ordered.select("conv", F.shiftright("at", piece_bits).alias("piece"), "at", "conv_id", "turn", "role", "text"), "chat-turns")
 
     def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(*run[0][:2], piece_costs([role_of(r[3]) for r in run])) for run in _runs(batches, 2)]
+        rows = []
+        for run in _runs(batches, 2):
+            first, final = run[0][3], run[-1][3]
+            rows.append((*run[0][:2], piece_costs([role_of(r[4]) for r in run]), first, sum(r[3] == first for r in run), final, sum(r[3] == final for r in run)))
         yield from _table(rows, _COSTS)
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
         for run in _runs(batches, 1):
             found = piece_states([r[2] for r in run])
-            rows += [(r[0], r[1], *s, k == len(run) - 1) for k, (r, s) in enumerate(zip(run, found, strict=True))]
-        yield from _table(rows, _STATES)
+            earlier = earlier_rows([r[3:] for r in run])
+            yield from _table([(r[0], r[1], *s, k == len(run) - 1, e) for k, (r, s, e) in enumerate(zip(run, found, earlier, strict=True))], _STATES)
 
     def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for run in _runs(batches, 2):
-            _, _, _, conv_id, _, _, _, enter, leave, last = run[0]
+            conv_id, enter, leave, last, earlier = (run[0][k] for k in (3, 7, 8, 9, 10))
             choices = repair([role_of(r[5]) for r in run], enter, leave)
-            out += [(conv_id, *x) for x in rendered(choices, [(r[4], r[6]) for r in run], last)]
+            out += [(conv_id, *x) for x in rendered(choices, [(r[4], r[6]) for r in run], last, earlier)]
             if len(out) > 4096:
                 yield from _table(out, _TURNS)
                 out = []
         yield from _table(out, _TURNS)
 
     def pieces(df: DataFrame, *columns: str) -> DataFrame:
-        return df.repartition(n, "conv", "part").sortWithinPartitions("conv", "part", "at").select(*columns)
+        return df.repartition(n, "conv", "piece").sortWithinPartitions("conv", "piece", "at").select(*columns)
 
-    matrices = pieces(ordered, "conv", "part", "at", "role").mapInArrow(costs, "conv string, part int, costs array<long>")
-    solved = matrices.repartition(n, "conv").sortWithinPartitions("conv", "part").mapInArrow(states, "conv string, part int, enter int, leave int, last boolean")
-    both = pieces(ordered.join(solved, ["conv", "part"]), "conv", "part", "at", "conv_id", "turn", "role", "text", "enter", "leave", "last")
+    matrices = pieces(ordered.select("conv", "piece", "at", "turn", "role"), "conv", "piece", "at", "turn", "role").mapInArrow(costs, COSTS)
+    solved = matrices.repartition(n, "conv").sortWithinPartitions("conv", "piece").mapInArrow(states, STATES)
+    both = pieces(ordered.join(solved, ["conv", "piece"]), "conv", "piece", "at", "conv_id", "turn", "role", "text", "enter", "leave", "last", "earlier")
     return both.mapInArrow(repaired, RESULT)
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -8,26 +9,28 @@ def legal(states):
     return all(b in chat.BEFORE and a in chat.BEFORE[b] for a, b in itertools.pairwise([chat.START, *states])) and states[-1:] == [chat.ASSISTANT]
 
 
+EXTRAS = [(), (chat.USER,), (chat.ASSISTANT,), (chat.USER, chat.ASSISTANT), (chat.ASSISTANT, chat.USER)]
+
+
 def brute(roles):
-    """The least cost over all assignments of roles, merges and up to two insertions before each turn."""
-    best = None
-    extras = [(), (chat.USER,), (chat.ASSISTANT,), (chat.USER, chat.ASSISTANT), (chat.ASSISTANT, chat.USER)]
-    for picks in itertools.product([(e, r, m) for e in extras for r in (1, 2, 3) for m in (False, True) if not (m and e)], repeat=len(roles)):
-        for end in extras:
-            states, cost, ok = [], 0, True
-            for (extra, role, merge), given in zip(picks, roles, strict=True):
-                states += extra
-                cost += chat.INSERT * len(extra) + (0 if role == given else chat.RELABEL)
-                if merge:
-                    ok = ok and states[-1:] == [role]
-                    cost += chat.MERGE
-                else:
-                    states.append(role)
-            states += end
-            cost += chat.INSERT * len(end)
-            if ok and legal(states) and (best is None or cost < best):
-                best = cost
-    return best
+    """The least cost over all assignments of roles, merges and up to two insertions before each turn, walked to the end."""
+
+    def go(states, rest, cost):
+        if not rest:
+            return min((cost + chat.INSERT * len(end) for end in EXTRAS if legal(states + list(end))), default=10**6)
+        found = []
+        for role in (1, 2, 3):
+            change = 0 if role == rest[0] else chat.RELABEL
+            if states[-1:] == [role]:
+                found.append(go(states, rest[1:], cost + change + chat.MERGE))
+            for extra in EXTRAS:
+                now = [*states, *extra, role]
+                # What isn't legal up to here never will be.
+                if all(b in chat.BEFORE and a in chat.BEFORE[b] for a, b in itertools.pairwise([chat.START, *now])):
+                    found.append(go(now, rest[1:], cost + change + chat.INSERT * len(extra)))
+        return min(found)
+
+    return go([], list(roles), 0)
 
 
 def total(roles):
@@ -36,7 +39,7 @@ def total(roles):
 
 
 def test_least_cost():
-    for n in (1, 2):
+    for n in (1, 2, 3, 4):
         for roles in itertools.product((None, 1, 2, 3), repeat=n):
             assert total(list(roles)) == brute(list(roles)), roles
 
@@ -101,3 +104,24 @@ def test_repair_does_not_depend_on_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1] == found[2]
+
+
+def test_rows_of_one_turn(spark):
+    """Many rows of one turn number come in one order and have steps of their own, however they are cut."""
+    long = "y" * 300
+    rows = [(1, 5, ("user", "assistant", "tool", None)[k % 4], str(k * 7919 % 400)) for k in range(390)] + [(1, 5, "user", long + c) for c in "abc"] + [(1, 5, "user", "same")] * 30 + [(1, 6, "user", "z"), (1, None, "user", "n"), (2, 5, "user", "q")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n, bits in ((1, 15), (4, 15), (7, 15), (3, 4), (2, 1)):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, chat.repair_conversations(turns.repartition(3), bits).collect()), key=repr))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(f == found[0] for f in found)
+    assert len({r[:3] for r in found[0]}) == len(found[0])
+    text = "".join(r[6] for r in sorted((r for r in found[0] if r[0] == 1), key=lambda r: (r[1] is not None, r[1] or 0, r[2])))
+    said = [t for part in text.replace("<|im_end|>", "").split("\n") for t in [part] if t and not t.startswith("<|im_start|>")]
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3][:256], hashlib.sha256(r[3].encode()).digest())
+    assert said == [r[3] for r in sorted((r for r in rows if r[0] == 1), key=key)]
