@@ -1,82 +1,91 @@
 """Packing: padding-optimal length buckets and token-budget batches.
 
-Lengths are counted into bins over the whole table: one bin for each length up
-to ``EXACT``, then ``PER_OCTAVE`` bins for each doubling, so the histogram that
-reaches the driver has a few thousand rows at any input size.  Dynamic
-programming over the bins chooses the bucket limits with the least padding.
-Inside a bucket, documents in hashed order fill batches of as many as the
-token budget holds at the bucket's length; a document longer than the budget
-is a batch of its own.
+Lengths are counted over the whole table, and the counts of distinct lengths
+reach the driver: as many as the longest document has words at most, however
+many documents there are.  Dynamic programming over this histogram chooses the
+bucket limits with the least padding of all.  Inside a bucket, documents in
+hashed order fill batches of as many as the token budget holds at the bucket's
+length; a document longer than the budget is a batch of its own.
 
 Places in a bucket come in two levels, counts of ranges of the hash and places
 in a range, and the number of ranges grows with the rows, so no group does.
+Rows that are alike are one row with a count until each gets its place, and
+then in pieces of ``COPIES``, so copies of one row spread as well.
 
 Defined cases: a null text has no words and length 0; repeated rows each get a
-place; an empty table gives an empty result; other columns are kept by ``pack``
-unless an output has their name.
+place, and rows alike in doc_id and text come in the order of a hash of their
+other columns; an empty table gives an empty result; other columns are kept by
+``pack`` unless an output has their name.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm import common
 
 BUCKETS = 16
 BUDGET = 16_384
-EXACT = 512
-PER_OCTAVE = 128
 RANGE_ROWS = 50_000
+#: Copies of a row that are given their places together, at most.
+COPIES = 50_000
 
 
-def length_bin(length: Column) -> Column:
-    """The bin of a length; higher lengths never have lower bins."""
-    octave = F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))), F.lit(0))
-    # The logarithm of a length just under a power of two may round up to it.
-    octave = F.when(F.pow(F.lit(2.0), octave) > length, octave - 1).otherwise(octave)
-    inside = F.floor((length / F.pow(F.lit(2.0), octave) - 1) * PER_OCTAVE)
-    return F.when(length <= EXACT, length).otherwise(EXACT + octave * PER_OCTAVE + inside).cast("long")
+def best_limits(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
+    """Upper limits, ascending, of at most ``buckets`` buckets of the ascending ``lengths`` with the least padding in all.
 
-
-def best_limits(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
-    """Upper limits, ascending, of at most ``buckets`` buckets of the ascending ``lengths`` with the least padding in all."""
+    With one bucket more, the padded total of the first j lengths is the least
+    of total(i) + lengths[j - 1] * (documents from i to j) over i.  In
+    lengths[j - 1] these are lines, flatter for a later i, so the lines that
+    are least somewhere are kept in order and each is left behind for good.
+    All in whole numbers.
+    """
     n = len(lengths)
     if not n:
         return []
-    size = lengths.astype(np.float64)
-    upto = np.concatenate([[0.0], np.cumsum(counts, dtype=np.float64)])
-    # cost[j]: the least padded total of the first j bins in k buckets.
-    cost = np.concatenate([[0.0], size * upto[1:]])
-    came = []
+    upto = [0]
+    for c in counts:
+        upto.append(upto[-1] + c)
+    total = [0, *(size * m for size, m in zip(lengths, upto[1:], strict=True))]
+    came: list[list[int]] = []
     for _ in range(1, min(buckets, n)):
-        new = np.empty(n + 1)
-        new[0] = 0.0
-        start = np.zeros(n + 1, np.int64)
+        new, start = [0] * (n + 1), [0] * (n + 1)
+        lines: list[int] = []
+        at = 0
         for j in range(1, n + 1):
-            total = cost[:j] - size[j - 1] * upto[:j]
-            start[j] = int(np.argmin(total))
-            new[j] = total[start[j]] + size[j - 1] * upto[j]
-        came.append(start)
-        if new[n] >= cost[n]:
-            came.pop()
+            i = j - 1
+            while len(lines) - at >= 2:
+                a, b = lines[-2], lines[-1]
+                # The last line is nowhere below both its neighbours.
+                if (total[i] - total[a]) * (upto[b] - upto[a]) <= (total[b] - total[a]) * (upto[i] - upto[a]):
+                    lines.pop()
+                else:
+                    break
+            lines.append(i)
+            size = lengths[j - 1]
+            while at + 1 < len(lines) and total[lines[at + 1]] - size * upto[lines[at + 1]] < total[lines[at]] - size * upto[lines[at]]:
+                at += 1
+            start[j] = lines[at]
+            new[j] = total[lines[at]] + size * (upto[j] - upto[lines[at]])
+        if new[n] >= total[n]:
             break
-        cost = new
-    limits = [int(lengths[n - 1])]
+        came.append(start)
+        total = new
+    limits = [lengths[n - 1]]
     at = n
     for start in reversed(came):
-        at = int(start[at])
+        at = start[at]
         if at == 0:
             break
-        limits.append(int(lengths[at - 1]))
+        limits.append(lengths[at - 1])
     return sorted(set(limits))
 
 
-def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The longest length and the count of each bin, ascending."""
-    rows = lengths.groupBy(length_bin(F.col("length")).alias("bin")).agg(F.max("length").alias("length"), F.count("*").alias("n")).orderBy("length").collect()
-    return np.array([r["length"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
+def histogram(lengths: DataFrame, count: str = "copies") -> tuple[list[int], list[int]]:
+    """The distinct lengths, ascending, and how many documents have each."""
+    rows = lengths.groupBy("length").agg(F.sum(count).alias("n")).orderBy("length").collect()
+    return [r["length"] for r in rows], [r["n"] for r in rows]
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, text: str = "text") -> DataFrame:
@@ -84,19 +93,27 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, text: st
     outputs = ("length", "bucket", "bucket_length", "batch", "slot")
     others = [c for c in docs.columns if c not in (text, *outputs)]
     slim = docs.select(F.struct(*others).alias("row"), common.word_count(F.col(text)).alias("length"), F.xxhash64("doc_id", common.text_or_empty(text)).alias("_hash"))
+    if "map<" in slim.schema["row"].dataType.simpleString():
+        # Maps can't be grouped by.
+        slim = slim.withColumns({"copies": F.lit(1).cast("long"), "_tie": F.xxhash64("length")})
+    else:
+        slim = slim.groupBy("row", "length", "_hash").agg(F.count("*").alias("copies")).withColumn("_tie", F.xxhash64("row"))
     slim = common.hold(slim)
     limits = best_limits(*histogram(slim), buckets)
     if not limits:
         return slim.select("row.*", "length", *(F.lit(0).cast("long").alias(c) for c in outputs[1:]))
     bucket = sum((F.when(F.col("length") > x, 1).otherwise(0) for x in limits[:-1]), F.lit(0)).cast("long")
-    ranges = max(64, slim.count() // RANGE_ROWS)
+    ranges = max(64, slim.agg(F.sum("copies")).first()[0] // RANGE_ROWS)
     in_range = F.floor((F.col("_hash").cast("double") / 2.0**64 + 0.5) * ranges)
     rows = slim.withColumns({"bucket": bucket, "_range": in_range})
-    counts = rows.groupBy("bucket", "_range").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("bucket", "_range").agg(F.sum("copies").alias("n"))
     before = Window.partitionBy("bucket").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    order = Window.partitionBy("bucket", "_range").orderBy("_hash", "row.doc_id")
-    placed = rows.withColumn("_place", F.row_number().over(order) - 1).join(offsets, ["bucket", "_range"]).withColumn("_place", F.col("_place") + F.col("_before"))
+    order = Window.partitionBy("bucket", "_range").orderBy("_hash", "row.doc_id", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("_place", F.sum("copies").over(order) - F.col("copies")).join(offsets, ["bucket", "_range"]).withColumn("_place", F.col("_place") + F.col("_before"))
+    pieces = placed.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))).repartition("bucket", "_place", "_piece")
+    first = F.col("_piece") * COPIES
+    placed = pieces.withColumn("_copy", F.explode(F.sequence(first, F.least(first + COPIES, F.col("copies")) - 1))).withColumn("_place", F.col("_place") + F.col("_copy"))
     limit = F.element_at(F.array(*(F.lit(x).cast("long") for x in limits)), (F.col("bucket") + 1).cast("int"))
     holds = F.greatest(F.floor(F.lit(budget) / F.greatest("bucket_length", F.lit(1))), F.lit(1))
     placed = placed.withColumn("bucket_length", limit)
