@@ -1,25 +1,27 @@
-"""Nearest neighbours by the largest inner product, exact or by shifted space-filling curves.
-
-Equal vectors become one class first.  A query could look at the classes within
-a window of places around its own on each of several curves; where these
-windows together hold as much as the table itself, as with the default
-``share``, every query is compared with every class instead, block by block:
-that is exact, for any norms, and less work.
-
-With a smaller ``share`` (that of one side of one curve's window) classes are
-split into bands of like norm, each with its own curves and windows, so a long
-vector changes nothing for the others.  A band that its windows would cover
-joins the classes that are compared with every query.  Each curve turns the
-directions of a band by its own random rotation, keeps a few coordinates,
-shifts the grid, and orders them along a Hilbert curve; Spark range-partitions
-that order.  The windows of all curves and bands merge, and the nearest by the
-exact inner product are kept.  Recall then follows from the share, and from the
-structure of the vectors.
+"""Nearest neighbours by the largest inner product: shifted space-filling curves, then an exact check in blocks.
+
+Equal vectors become one class first.  Each of several curves turns the
+directions of the vectors by its own random rotation, keeps a few coordinates,
+shifts the grid, and orders the classes along a Hilbert curve; Spark
+range-partitions that order.  A query meets the classes of the windows next to
+it on each curve, and the k-th best of all windows merged is its floor.
+
+The check then makes sure of the rest.  Classes stay in the order of the first
+curve, in blocks of near ones; a block whose centre and radius rule out that
+any of its vectors reaches a query's floor is passed over, and the others are
+compared as a matrix product.  What reaches the floor is scored again, its
+products summed in the order of the components, and ranked.  So the result is
+exact, for any norms, and the curves decide how much of the table a query must
+meet: little where vectors have structure, all of it where they have none.
+
+Windows and blocks hold a set number of places, and a partition a set number of
+classes, so memory doesn't grow with the table; queries pass as a stream.
 
 Defined cases: vectors that are null, zero, of a length that isn't the most
 common one, or that hold null or non-finite components take no part, nor do
-rows without vec_id; repeated rows count once; an empty table gives an empty
-result; other columns are ignored.
+rows without vec_id; repeated rows count once; ties go to the smaller vec_id,
+whatever their number; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,23 +39,16 @@ from lumenframe.llm import common
 
 @dataclass(frozen=True)
 class Curves:
-    curves: int = 10
+    """``window`` places to a window, ``block`` classes to a block, about ``part`` to a partition."""
+
+    curves: int = 3
     coordinates: int = 8
     bits: int = 7
-    share: float = 0.06
-    least_window: int = 1000
-    block_rows: int = 8192
-    block_queries: int = 16384
+    window: int = 512
+    block: int = 2048
+    part: int = 65_536
     seed: int = 3
 
-    def window(self, n: int, k: int) -> int:
-        """Places on each side of a query among ``n`` classes."""
-        return max(self.least_window, int(np.ceil(self.share * n)), k + 1)
-
-    def covers(self, n: int, k: int) -> bool:
-        """Whether the windows of all curves hold as many places as there are classes."""
-        return 2 * self.curves * self.window(n, k) >= n
-
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Places on the Hilbert curve of rows of grid cells, each coordinate below 2**bits.
@@ -113,119 +107,166 @@ def place(points: np.ndarray, frame: tuple[np.ndarray, np.ndarray], scale: float
     return hilbert_keys(np.minimum((even * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits)
 
 
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows of ``a`` with rows of ``b``, summed in the order of the components."""
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total += a[:, k] * b[:, k]
+    return total
+
+
+class Blocks:
+    """Classes in the order of a curve, cut into blocks with a centre, a radius and a longest vector each."""
+
+    def __init__(self, points: np.ndarray, size: int):
+        self.points = points
+        self.cuts = np.append(np.arange(0, len(points), size), len(points))
+        parts = [points[a:b] for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+        self.centres = np.stack([p.mean(0) for p in parts])
+        self.radius = np.array([np.sqrt(((p - c) ** 2).sum(1).max()) for p, c in zip(parts, self.centres, strict=True)])
+        self.longest = np.array([np.sqrt((p * p).sum(1).max()) for p in parts])
+
+    def reached(self, queries: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Pairs (query, place) that may be among the ``k`` best or tie with them, and how many blocks were compared."""
+        length = np.sqrt((queries * queries).sum(1))
+        # Beyond what rounding can do to a product.
+        slack = 1e-13 * queries.shape[1] * length[:, None] * self.longest
+        bounds = queries @ self.centres.T + length[:, None] * self.radius + slack
+        floors = floors.copy()
+        who, where, value, met = [], [], [], 0
+        for block, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
+            asks = np.flatnonzero(~(bounds[:, block] < floors))
+            if not len(asks):
+                continue
+            met += len(asks)
+            near = queries[asks] @ self.points[a:b].T
+            least = floors[asks] - slack[asks, block]
+            many = np.flatnonzero((near >= least[:, None]).sum(1) > k)
+            if len(many):
+                # So many of this block's classes are a floor too.
+                kth = np.partition(near[many], b - a - k, axis=1)[:, b - a - k]
+                floors[asks[many]] = np.maximum(floors[asks[many]], kth - slack[asks[many], block])
+                least = floors[asks] - slack[asks, block]
+            q, at = np.nonzero(near >= least[:, None])
+            who.append(asks[q])
+            where.append(at + a)
+            value.append(near[q, at] + slack[asks[q], block])
+        if not who:
+            return np.empty(0, np.int64), np.empty(0, np.int64), met
+        who, where, value = np.concatenate(who), np.concatenate(where), np.concatenate(value)
+        alive = value >= floors[who]
+        return who[alive], where[alive], met
+
+
 def _usable(vectors: DataFrame) -> tuple[DataFrame, int]:
+    exact = vectors.schema["embedding"].dataType.simpleString() in ("array<float>", "array<double>")
+    vectors = vectors.select("vec_id", (F.col("embedding") if exact else F.col("embedding").cast("array<double>")).alias("embedding"))
     good = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
     sizes = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim = sizes[0]["d"] if sizes else 0
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = good.where((F.size("embedding") == dim) & ~bad & F.exists("embedding", lambda x: x != 0))
-    return good.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")), dim
+    return good.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")), dim
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, c: Curves = Curves()) -> DataFrame:  # noqa: B008
-    """For each row whose vec_id is divisible by ``every``, the ``k`` nearest found: query_id, rank, vec_id, score."""
+    """For each row whose vec_id is divisible by ``every``, the ``k`` nearest: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     rows, dim = _usable(vectors)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not dim:
         return empty
+    kind = rows.schema["vector"].dataType.simpleString()
     # A class needs its k + 1 smallest ids at most; the limit acts before the shuffle too.
     smallest = rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     classes = smallest.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     classes = common.materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "ann-classes")
-    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    # Norms in a band differ by a factor of 2 ** 0.25 at most.
-    banded = classes.withColumn("band", F.round(2 * F.log2(F.least(F.greatest(square, F.lit(1e-300)), F.lit(1e300)))).cast("int"))
-    sizes = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}
-    n = sum(sizes.values())
+    n = classes.count()
     if not n:
         return empty
-    wide = {} if c.covers(n, k) else {band: size for band, size in sorted(sizes.items()) if not c.covers(size, k)}
-    # Curve 0 is no curve: its classes are compared with every query.
-    first_curve = {band: 1 + at * c.curves for at, band in enumerate(wide)}
     queries = common.hold(rows.where(F.col("vec_id") % every == 0).distinct().join(classes.select("vector", "cid"), "vector").select(F.col("vec_id").alias("query_id"), "cid"))
     asking = queries.select("cid").distinct().withColumn("asks", F.lit(True))
-    searched = banded.join(asking, "cid", "left").select("cid", "vector", F.coalesce("asks", F.lit(False)).alias("asks"), F.col("ids")[0].alias("first_id"), "band")
+    searched = classes.select("cid", "vector", F.col("ids")[0].alias("first_id")).join(asking, "cid", "left").select("cid", "first_id", F.coalesce("asks", F.lit(False)).alias("asks"), "vector")
     bits = min(c.bits, 62 // min(c.coordinates, dim))
 
-    def curves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frames = curve_frame(dim, c) if wide else []
-
-        def rows(batch: pa.RecordBatch, curve: np.ndarray, keys: np.ndarray, role: int, chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(keys):
-                some = batch.filter(pa.array(chosen))
-                yield pa.RecordBatch.from_arrays([pa.array(curve, pa.int32()), pa.array(keys, pa.int64()), pa.array(np.full(len(keys), role), pa.int32()), some.column(0), some.column(3), some.column(1)], names=["curve", "key", "role", "cid", "first_id", "vector"])
-
+    def on_curves(which: range):
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            frames = curve_frame(dim, c)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = _matrix(batch.column(3), dim)
+                x = x / np.abs(x).max(1, keepdims=True)
+                x = x / np.sqrt((x * x).sum(1, keepdims=True))
+                for curve in which:
+                    keys = place(x, frames[curve], 1 / np.sqrt(dim), bits)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), curve), pa.int32()), pa.array(keys, pa.int64()), *batch.columns], names=["curve", "key", *batch.schema.names])
+
+        return searched.mapInArrow(placed, f"curve int, key long, cid long, first_id long, asks boolean, vector {kind}")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        curve, cid, asks = (np.concatenate([b.column(at).to_numpy(zero_copy_only=False) for b in held]) for at in (0, 2, 4))
+        points = np.concatenate([_matrix(b.column(5), dim) for b in held])
+        cuts = np.flatnonzero(np.append(True, curve[1:] != curve[:-1]))
+        for start, stop in zip(cuts, np.append(cuts[1:], len(curve)), strict=True):
+            for a in range(start, stop, c.window):
+                asked = a + np.flatnonzero(asks[a : min(a + c.window, stop)])
+                first, last = max(start, a - c.window), min(a + 2 * c.window, stop)
+                if not len(asked):
+                    continue
+                near = points[asked] @ points[first:last].T
+                width = min(k + 1, last - first)
+                best = np.argpartition(-near, width - 1, axis=1)[:, :width]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid[asked], width)), pa.array(cid[first:last][best].ravel()), pa.array(np.take_along_axis(near, best, 1).ravel())], names=["query", "cid", "score"])
+
+    parts = max(common.shuffle_partitions(spark), -(-n * c.curves // c.part))
+    ordered = on_curves(range(c.curves)).repartitionByRange(parts, "curve", "key", "cid").sortWithinPartitions("curve", "key", "cid")
+    merged = ordered.mapInArrow(windows, "query long, cid long, score double").groupBy("query", "cid").agg(F.max("score").alias("score"))
+    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "cid")
+    floors = merged.withColumn("n", F.row_number().over(by_score)).where(F.col("n") == k + 1).select(F.col("query").alias("cid"), F.col("score").alias("floor"))
+
+    parts = max(1, min(-(-n // c.block), max(common.shuffle_partitions(spark), -(-n // c.part))))
+    along = on_curves(range(1)).repartitionByRange(parts, "key", "cid").withColumn("part", F.spark_partition_id())
+    along = common.materialize(along.select("part", F.lit(0).alias("role"), "key", "cid", "first_id", F.lit(0.0).alias("floor"), "vector"), "ann-blocks")
+    asked = searched.where("asks").join(floors, "cid", "left").withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "role": F.lit(1), "key": F.lit(0).cast("long"), "floor": F.coalesce("floor", F.lit(float("-inf")))})
+    both = along.unionByName(asked.select(*along.columns)).repartitionById(parts, F.col("part")).sortWithinPartitions("role", "key", "cid")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        blocks = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            asks = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            first = np.array([first_curve.get(band, 0) for band in batch.column(4).to_pylist()])
-            whole = np.zeros(len(asks), np.int64)
-            for role, chosen in ((0, first == 0), (1, asks)):
-                yield from rows(batch, whole[chosen], whole[chosen], role, chosen)
-            if not wide:
+            asks = batch.column(0).to_numpy() == 1
+            if not asks.all():
+                held.append(batch.filter(pa.array(~asks)))
+            if not asks.any() or not held:
                 continue
-            x = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
-            x /= np.abs(x).max(1, keepdims=True)
-            x /= np.sqrt((x * x).sum(1, keepdims=True))
-            for curve, frame in enumerate(frames):
-                keys = place(x, frame, 1 / np.sqrt(dim), bits)
-                chosen = first > 0
-                yield from rows(batch, first[chosen] + curve, keys[chosen], 0, chosen)
-                for start in first_curve.values():
-                    yield from rows(batch, whole[asks] + start + curve, keys[asks], 1, asks)
-
-    placed = searched.mapInArrow(curves, "curve int, key long, role int, cid long, first_id long, vector array<double>")
-    ordered = placed.repartitionByRange(common.shuffle_partitions(spark), "curve", "key", "cid").withColumn("part", F.spark_partition_id())
-    ordered = common.materialize(ordered, "ann-curves")
-    counts = ordered.groupBy("curve", "part").agg(F.sum(1 - F.col("role")).alias("n"))
-    before = counts.select("curve", "part", F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    # Queries take the place of the candidates up to them.
-    inside = F.sum(1 - F.col("role")).over(Window.partitionBy("curve", "part").orderBy("key", "cid", "role").rowsBetween(Window.unboundedPreceding, 0))
-    asked = queries.select("cid").distinct().count()
-    plans = []
-    for start, size, window in [(0, n - sum(wide.values()), n), *((first_curve[band], size, c.window(size, k)) for band, size in wide.items())]:
-        # Where every query meets every block, smaller blocks spread a small table.
-        block_rows = c.block_rows if start else min(c.block_rows, max(256, -(-size // common.shuffle_partitions(spark))))
-        chunks = int(np.ceil(asked * min(1, (block_rows + 2 * window) / max(1, size)) / c.block_queries)) or 1
-        plans += [(start + curve, window, block_rows, (size - 1) // block_rows, chunks) for curve in range(c.curves if start else 1) if size]
-    plan = spark.createDataFrame(plans, "curve int, window long, block_rows long, last long, chunks int")
-    ranked = ordered.withColumn("at", inside).join(before, ["curve", "part"]).join(plan, "curve").withColumn("at", F.col("at") + F.col("before") - 1)
-    low, high = (F.floor(at / F.col("block_rows")) for at in (F.greatest(F.col("at") - F.col("window"), F.lit(0)), F.col("at") + F.col("window")))
-    blocks = ranked.withColumns(
-        {
-            "block": F.explode(F.when(F.col("role") == 0, F.array(F.floor(F.col("at") / F.col("block_rows")))).otherwise(F.sequence(low, F.least(high, F.col("last"))))),
-        }
-    ).withColumn("chunk", F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")))))
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        asked = rows[rows.role == 1]
-        held = rows[rows.role == 0]
-        out = []
-        if len(asked) and len(held):
-            points = np.stack(held.vector.to_numpy())
-            cids, firsts, at = held.cid.to_numpy(), held.first_id.to_numpy(), held["at"].to_numpy()
-            for part in np.array_split(np.arange(len(asked)), -(-len(asked) // 512)):
-                wanted = np.stack(asked.vector.to_numpy()[part])
-                near = wanted @ points.T
-                near[np.abs(asked["at"].to_numpy()[part][:, None] - at) > asked.window.iat[0]] = -np.inf
-                width = min(k + 12, len(held))
-                chosen = np.argpartition(-near, width - 1, axis=1)[:, :width]
-                for row, query, cid, values in zip(chosen, wanted, asked.cid.to_numpy()[part], near, strict=True):
-                    row = row[np.isfinite(values[row])]
-                    score = (points[row] * query).sum(1)
-                    order = np.lexsort((firsts[row], -score))[: k + 1]
-                    out.append(pd.DataFrame({"query": cid, "cid": cids[row][order], "score": score[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "cid": [], "score": []}).astype({"query": "int64", "cid": "int64", "score": "float64"})
-
-    # A given number of partitions isn't merged into few tasks for the small size of their rows.
-    spread = blocks.repartition(common.shuffle_partitions(spark), "curve", "block", "chunk")
-    found = spread.groupBy("curve", "block", "chunk").applyInPandas(search, "query long, cid long, score double")
-    merged = found.groupBy("query", "cid").agg(F.max("score").alias("score"))
+            if blocks is None:
+                # Classes come before queries, so all are here.
+                cid, first = (np.concatenate([b.column(at).to_numpy() for b in held]) for at in (1, 2))
+                blocks = Blocks(np.concatenate([_matrix(b.column(4), dim) for b in held]), c.block)
+            batch = batch.filter(pa.array(asks))
+            points = _matrix(batch.column(4), dim)
+            who, where, _ = blocks.reached(points, batch.column(3).to_numpy(), k + 1)
+            score = np.concatenate([in_order(points[who[at : at + 65536]], blocks.points[where[at : at + 65536]]) for at in range(0, len(who) or 1, 65536)])
+            order = np.lexsort((first[where], -score, who))
+            who, where, score = who[order], where[order], score[order]
+            begin = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else who
+            rank = np.arange(len(who)) - np.repeat(begin, np.diff(np.append(begin, len(who))))
+            best = rank <= k
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(1).to_numpy()[who[best]], pa.int64()), pa.array(cid[where[best]], pa.int64()), pa.array(score[best], pa.float64())], names=["query", "cid", "score"])
+
+    with common.arrow_rows(spark, 512):
+        found = common.materialize(both.select("role", "cid", "first_id", "floor", "vector").mapInArrow(check, "query long, cid long, score double"), "ann-found")
     ids = classes.select("cid", "ids", F.col("ids")[0].alias("first_id"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "first_id")
-    top = merged.join(ids, "cid").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    top = found.join(ids, "cid").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     each = top.select("query", "score", F.explode("ids").alias("vec_id"))
     each = each.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
     lists = each.select(F.col("query").alias("cid"), "score", "vec_id")
@@ -238,4 +279,13 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(common.table("embeddings")(spark, sf_dir).select("vec_id", "embedding"))
 
 
+_OP10 = """
+WITH d AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+m AS (SELECT len(v) AS dim FROM d GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+g AS (SELECT vec_id, v FROM d, m WHERE len(v) = dim AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM g q, g c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
 QUERIES = {"op10_neighbours": op10_neighbours}
+ORACLE_SQL = {"op10_neighbours": _OP10}
