@@ -77,6 +77,19 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def split_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, an aggregate that has each key once.
+
+    Where an aggregate is joined as it lies, by its own key, adaptive execution
+    can't split a key with very many rows.  By another form of the key both
+    sides are dealt anew, and it can.
+    """
+    # A hash wouldn't be one to one; a reversed string or a negated number is.
+    kind = one.schema[key].dataType.simpleString()
+    turned = F.bitwise_not(key) if kind in ("bigint", "int") else F.concat(F.lit("=").cast(kind), F.col(key))
+    return many.withColumn("_turned", turned).join(one.withColumn("_turned", turned).drop(key), "_turned", how).drop("_turned")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

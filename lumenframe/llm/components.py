@@ -1,4 +1,9 @@
-"""Connected components by alternating star contractions, all in DataFrame operations."""
+"""Connected components by alternating star contractions, all in DataFrame operations.
+
+A star's centre may hold a large share of all links.  Its smallest neighbour is
+found by an aggregation that starts before the shuffle, and links meet that by
+``common.split_join``, whose hot groups Spark deals over several tasks.
+"""
 
 from __future__ import annotations
 
@@ -16,14 +21,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return common.split_join(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours move to the smallest of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = common.split_join(down, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     own = least.select("a", F.col("m").alias("b"))
     return moved.unionByName(own).where("a != b").distinct()
 

@@ -39,8 +39,6 @@ from lumenframe.llm.components import connected_components
 
 #: Shingles in a block's side, at most, beside its last text.
 BLOCK_SHINGLES = 100_000
-#: Candidates, at most, that are sent to all executors instead of shuffling texts to them.
-SENT_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -199,9 +197,9 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, s: Settings, text: str) -> Da
                 found = pa.array([x.tobytes() for x in shingler.sets(batch.column(2).to_pylist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["cid", "signature", "shingles"])
 
-    few = wanted.count() <= SENT_ROWS
-    keys = wanted.select("cid", "did", "tie")
-    texts = _texts(docs, text).join(F.broadcast(keys) if few else keys, ["did", "tie"]).select("cid", "body")
+    # Held by itself, so that Spark knows its size in bytes and sends it to all executors only below its own threshold.
+    keys = common.hold(wanted.select("cid", "did", "tie"))
+    texts = _texts(docs, text).join(keys, ["did", "tie"]).select("cid", "body")
     # Rows repeated with id and text match more than once.
     once = texts.groupBy("cid").agg(F.first("body").alias("body"))
     return once.join(wanted.select("cid", "signature"), "cid").select("cid", "signature", "body").mapInArrow(sets, "cid long, signature binary, shingles binary")
@@ -281,7 +279,7 @@ def _within_buckets(members: DataFrame, sets: DataFrame, components: DataFrame,
     # Buckets with the same members are one.
     left = stats.where((F.col("low") < F.col("high")) & (F.col("n") > 2)).groupBy("n", "who").agg(F.min("key").alias("key"), F.max("weight").alias("weight"))
     chunks = F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")
-    chunked = labelled.join(left.select("key", chunks.alias("chunks")), "key").withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(7)), "chunks").cast("int"))
+    chunked = common.split_join(labelled, left.select("key", chunks.alias("chunks")), "key").withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(7)), "chunks").cast("int"))
     blocks = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = blocks.select("cid", "comp", "key", "chunk", F.least("chunk", "other").alias("c"), F.greatest("chunk", "other").alias("d"))
     full = blocks.join(sets, "cid")
@@ -313,7 +311,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text
     keyed = classes.select("cid", F.explode("bands").alias("key"))
     drawn = F.xxhash64("key", "cid")
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("cid", drawn).alias("pivot")).where("n > 1")
-    members = common.hold(keyed.join(buckets, "key"))
+    members = common.hold(common.split_join(keyed, buckets, "key"))
     wanted = common.hold(members.select("cid").distinct().join(classes.select("cid", "did", "tie", "signature"), "cid"))
     with common.arrow_rows(spark, 1024):
         sets = common.materialize(_with_sets(docs, wanted, s, text), "near-sets")
@@ -329,7 +327,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text
     wanted.unpersist()
     common.discard(classes, sets, links, more)
     smallest = labelled.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    of_class = labelled.join(smallest, "comp").select("digest", "component_id")
+    of_class = common.split_join(labelled, smallest, "comp").select("digest", "component_id")
     joined = prints.select("doc_id", "tie", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "tie", "n_shingles", "digest", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
