@@ -10,9 +10,10 @@ posterior joins its evidence with its path's rate, its own share of it left out.
 Evidence is summed as whole millionths, so results don't depend on the order.
 
 Defined cases: a null text is an empty one; a null host or path is one of its
-own; repeated rows each count; without labels of both kinds the evidence is the
-labels' smoothed rate; an empty table gives an empty result; other columns are
-kept by ``keep_good``.
+own, apart from an empty one; repeated rows each count; a doc_id with several
+labels is good if one of them says so, and of its texts the smallest is fitted;
+without labels of both kinds the evidence is the labels' smoothed rate; an empty
+table gives an empty result; other columns are kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -43,13 +44,16 @@ def measures(text: str) -> list[float]:
     n, chars = len(words), len(text)
     counts = Counter(words)
     upper = digits = signs = 0
-    for c in set(text):
+    # Letters without case and small ones aren't counted; where many others occur, one pass counts all.
+    counted = [c for c in set(text) if c.isupper() or c.isdigit() or not (c.isalnum() or c.isspace())]
+    number = Counter(text).__getitem__ if len(counted) > 100 else text.count
+    for c in counted:
         if c.isupper():
-            upper += text.count(c)
+            upper += number(c)
         elif c.isdigit():
-            digits += text.count(c)
-        elif not (c.isalnum() or c.isspace()):
-            signs += text.count(c)
+            digits += number(c)
+        else:
+            signs += number(c)
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
     lines = text.split("\n")
     return [
@@ -127,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(rows), pa.list_(pa.float64()))], names=["quality", "x"])
 
     # ``chosen`` has ``sample`` rows at most.
-    joined = docs.select("doc_id", common.text_or_empty(text).alias("t")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    joined = docs.select("doc_id", common.text_or_empty(text).alias("t")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("t").alias("t"))
     found = joined.select(F.col("quality").cast("int").alias("quality"), "t").mapInArrow(measured, "quality int, x array<double>").toArrow()
     good = found.column("quality").to_numpy().astype(float)
     if len(set(good.tolist())) < 2:
@@ -164,11 +168,21 @@ def site_rates(scored: DataFrame) -> DataFrame:
     return joined.withColumns({"path_k": path_k, "path_rate": (F.col("good") + path_k * F.col("host_rate")) / (F.col("n") + path_k)})
 
 
-def with_posterior(docs: DataFrame, model: Model | float, host: Column, path: Column, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` as ``row``, with p, host_rate, path_rate and posterior; the texts are not shuffled when the sites' table is small."""
-    named = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), evidence(model)(F.col(text)).alias("p"))
+def _named(key: Column) -> Column:
+    """A key that tells null from empty."""
+    return F.when(key.isNull(), "").otherwise(F.concat(F.lit("="), key))
+
+
+def with_posterior(docs: DataFrame, model: Model | float, host: Column, path: Column, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` (all) of ``docs`` as ``row``, with p, host_rate, path_rate and posterior.
+
+    Texts are read once, and written with their evidence to the shared folder
+    where they are carried; they are not shuffled when the sites' table is small.
+    """
+    named = docs.select(F.struct(*(docs.columns if carry is None else carry)).alias("row"), _named(host).alias("host"), _named(path).alias("path"), evidence(model)(F.col(text)).alias("p"))
     with common.arrow_rows(docs.sparkSession, 1024):
-        sites = common.hold(site_rates(common.hold(named.select("host", "path", "p"))))
+        named = common.materialize(named, "quality-scored")
+    sites = common.hold(site_rates(named.select("host", "path", "p")))
     joined = named.withColumn("p", F.col("p") / MILLION).join(sites, ["host", "path"])
     others = (F.col("good") - F.col("p") + F.col("path_k") * F.col("host_rate")) / (F.col("n") - 1 + F.col("path_k"))
     z = _logit(F.col("p")) + _logit(F.least(F.greatest(others, F.lit(1e-6)), F.lit(1 - 1e-6))) - _logit(F.col("prior"))
@@ -183,7 +197,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: st
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table("documents")(spark, sf_dir).select("doc_id", "source", "lang", "text")
     model = train(docs, common.table("labels")(spark, sf_dir))
-    found = with_posterior(docs, model, F.col("source"), F.concat_ws("/", "source", "lang"))
+    found = with_posterior(docs, model, F.col("source"), F.concat_ws("/", "source", "lang"), carry=["doc_id"])
     return found.select("row.doc_id", F.round("p", 6).alias("p_document"), F.round("host_rate", 6).alias("host_rate"), F.round("path_rate", 6).alias("path_rate"), F.round("posterior", 6).alias("posterior"), (F.col("posterior") >= THRESHOLD).alias("keep"))
 
 
