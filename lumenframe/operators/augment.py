@@ -80,6 +80,28 @@ def moved_boxes(boxes: np.ndarray, matrix: np.ndarray) -> np.ndarray:
 IMAGE_RESULT = "path string, version int, height int, width int, channels int, data binary, polygons array<struct<class_id: int, points: array<struct<x: double, y: double>>>>, boxes array<struct<class_id: int, x1: double, y1: double, x2: double, y2: double>>"
 
 
+def _moved(r, m: np.ndarray) -> tuple[list[dict], list[dict]]:
+    """Polygons and boxes of a row, moved."""
+    polygons = [{"class_id": p["class_id"], "points": [{"x": float(x), "y": float(y)} for x, y in moved_points(np.array([[q["x"], q["y"]] for q in p["points"]]).reshape(-1, 2), m)]} for p in (r.polygons if r.polygons is not None else [])]
+    given = list(r.boxes) if r.boxes is not None else []
+    moved = moved_boxes(np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] for b in given], float).reshape(-1, 4), m)
+    return polygons, [{"class_id": b["class_id"], **dict(zip(("x1", "y1", "x2", "y2"), map(float, box), strict=True))} for b, box in zip(given, moved, strict=True)]
+
+
+ANNOTATION_RESULT = "path string, version int, height int, width int, polygons array<struct<class_id: int, points: array<struct<x: double, y: double>>>>, boxes array<struct<class_id: int, x1: double, y1: double, x2: double, y2: double>>"
+
+
+def augment_annotations(rows: DataFrame, hyp: Hyperparameters, seed: int = 0) -> DataFrame:
+    """What ``augment_images`` gives for the annotations of versions (path, version, height, width, polygons, boxes), by the same draw, without reading pixels."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(r.path, r.version, r.height, r.width, *_moved(r, matrix_of(draw(generator(r.path, r.version, seed), hyp, r.width, r.height)))) for r in batch.itertuples(index=False)]
+            yield pd.DataFrame(out, columns=["path", "version", "height", "width", "polygons", "boxes"])
+
+    return rows.select("path", "version", "height", "width", "polygons", "boxes").mapInPandas(work, ANNOTATION_RESULT)
+
+
 def augment_images(images: DataFrame, hyp: Hyperparameters, seed: int = 0) -> DataFrame:
     """Versions of images (path, version, height, width, channels, data) with arrays ``polygons`` (points in pixels) and ``boxes`` (corners in pixels); either may be null."""
 
@@ -88,13 +110,8 @@ def augment_images(images: DataFrame, hyp: Hyperparameters, seed: int = 0) -> Da
             for r in batch.itertuples(index=False):
                 image = pixels.drop_alpha(pixels.to_array(r.data, r.height, r.width, r.channels))
                 steps = draw(generator(r.path, r.version, seed), hyp, r.width, r.height)
-                m = matrix_of(steps)
                 out = augmented_pixels(image, steps)
-                polygons = [{"class_id": p["class_id"], "points": [{"x": float(x), "y": float(y)} for x, y in moved_points(np.array([[q["x"], q["y"]] for q in p["points"]]).reshape(-1, 2), m)]} for p in (r.polygons if r.polygons is not None else [])]
-                given = list(r.boxes) if r.boxes is not None else []
-                moved = moved_boxes(np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] for b in given], float).reshape(-1, 4), m)
-                boxes = [{"class_id": b["class_id"], **dict(zip(("x1", "y1", "x2", "y2"), map(float, box), strict=True))} for b, box in zip(given, moved, strict=True)]
-                yield pd.DataFrame([(r.path, r.version, *out.shape, out.tobytes(), polygons, boxes)], columns=["path", "version", "height", "width", "channels", "data", "polygons", "boxes"])
+                yield pd.DataFrame([(r.path, r.version, *out.shape, out.tobytes(), *_moved(r, matrix_of(steps)))], columns=["path", "version", "height", "width", "channels", "data", "polygons", "boxes"])
 
     columns = ("path", "version", "height", "width", "channels", "data", "polygons", "boxes")
     return images.select(*columns).mapInPandas(work, IMAGE_RESULT)

@@ -38,18 +38,48 @@ def run_model(path: str, tensor: np.ndarray) -> np.ndarray:
     return s.run([s.get_outputs()[0].name], {s.get_inputs()[0].name: tensor})[0]
 
 
-def detect(frames: DataFrame, models: list[str], size: int = 640) -> DataFrame:
-    """Detections of each model on each frame, boxes in the letterboxed image; models give rows (batch, x1, y1, x2, y2, class, confidence)."""
+def batch_size(path: str, most: int) -> int:
+    """Images that a model takes at once: the number that it fixes, or ``most`` where it leaves that open; one where it doesn't say."""
+    shape = getattr(session(path).get_inputs()[0], "shape", None)
+    if not shape:
+        return 1
+    return shape[0] if isinstance(shape[0], int) and shape[0] > 0 else most
+
+
+def run_batches(path: str, tensors: np.ndarray, most: int = 8) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows (x1, y1, x2, y2, class, confidence) found in each of ``tensors``, with its place; the last batch of a fixed size is filled up with zeros."""
+    size = batch_size(path, most)
+    for at in range(0, len(tensors), size):
+        part = tensors[at : at + size]
+        given = part
+        if 1 < size != len(part) and batch_size(path, 0):
+            given = np.concatenate([part, np.zeros((size - len(part), *part.shape[1:]), part.dtype)])
+        found = np.asarray(run_model(path, given), float).reshape(-1, 7)
+        of = found[:, 0].astype(int) if size > 1 else np.zeros(len(found), int)
+        for k in range(len(part)):
+            yield at + k, found[of == k, 1:]
+
+
+def detect(frames: DataFrame, models: list[str], size: int = 640, most: int = 8) -> DataFrame:
+    """Detections of each model on each frame, boxes in the letterboxed image; models give rows (batch, x1, y1, x2, y2, class, confidence).
+
+    Models that take several images get up to ``most`` at once.
+    """
+    columns = [c.split()[0] for c in RAW.split(", ")]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                image = pixels.drop_alpha(pixels.to_array(r.data, r.height, r.width, r.channels))
-                boxed, ratio, (dw, dh) = pixels.letterbox(image, (size, size), auto=False)
-                _, tensor = pixels.to_tensor(pixels.swap_channels(boxed))
+        for whole in batches:
+            for at in range(0, len(whole), most):
+                rows = list(whole.iloc[at : at + most].itertuples(index=False))
+                shaped, tensors = [], []
+                for r in rows:
+                    image = pixels.drop_alpha(pixels.to_array(r.data, r.height, r.width, r.channels))
+                    boxed, ratio, (dw, dh) = pixels.letterbox(image, (size, size), auto=False)
+                    shaped.append((ratio, dw, dh))
+                    tensors.append(pixels.to_tensor(pixels.swap_channels(boxed))[1])
                 for k, model in enumerate(models, 1):
-                    found = np.asarray(run_model(model, tensor), float).reshape(-1, 7)
-                    yield pd.DataFrame([(r.path, r.frame, k, n, *map(float, d[1:5]), int(d[5]), float(d[6]), ratio, dw, dh) for n, d in enumerate(found, 1)], columns=[c.split()[0] for c in RAW.split(", ")])
+                    out = [(rows[p].path, rows[p].frame, k, n, *map(float, d[:4]), int(d[4]), float(d[5]), *shaped[p]) for p, found in run_batches(model, np.concatenate(tensors), most) for n, d in enumerate(found, 1)]
+                    yield pd.DataFrame(out, columns=columns)
 
     return frames.select("path", "frame", "height", "width", "channels", "data").mapInPandas(work, RAW)
 

@@ -7,7 +7,7 @@ them out where their measured size allows; no hint overrides that.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import names
@@ -31,11 +31,15 @@ def matched_pairs(images: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def strict_pairs(images: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs; a row raises if its image or label has no partner."""
+    """The pairs; a row without a partner raises, and so do two images or labels of one key.
+
+    The check is a condition of the rows, so it stays whichever columns are read.
+    """
     pairs = matched_pairs(images, labels)
-    broken = F.col("image").isNull() | F.col("label").isNull()
-    checked = F.when(broken, F.raise_error(F.concat(F.lit("no partner: "), F.coalesce("image", "label")))).otherwise(F.col("key"))
-    return pairs.withColumn("key", checked)
+    broken = F.col("image").isNull() | F.col("label").isNull() | (F.count("*").over(Window.partitionBy("key")) > 1)
+    checked = pairs.withColumn("_broken", broken)
+    said = F.raise_error(F.concat(F.lit("image and label don't match: "), F.coalesce("image", "label"))).cast("boolean")
+    return checked.where(F.when(F.col("_broken"), said).otherwise(F.lit(True))).drop("_broken")
 
 
 def optional_labels(images: DataFrame, labels: DataFrame, required: bool = False) -> DataFrame:

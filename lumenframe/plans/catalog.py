@@ -291,6 +291,25 @@ def _(spark, sf):
     return labels.class_list(table(spark, sf, "benchmark").select("item_id", F.replace("text", F.lit(" "), F.lit("\n")).alias("text")))
 
 
+@query("class_list_outer", "WITH t AS (SELECT item_id, string_split(trim(replace(text, ' ', chr(10)), chr(10)), chr(10)) AS w FROM benchmark) SELECT item_id, CAST(unnest(generate_series(0, len(w) - 1)) AS INTEGER) AS class_id, unnest(w) AS name FROM t")
+def _(spark, sf):
+    text = F.concat(F.lit("\n"), F.replace("text", F.lit(" "), F.lit("\n")), F.lit("\n\n"))
+    return labels.class_list(table(spark, sf, "benchmark").select("item_id", text.alias("text")), outer=True)
+
+
+@query("coco_boxes", "SELECT image_id, class_id, xc, yc, w, h, '{\"' || CAST(class_id AS VARCHAR) AS name FROM ann")
+def _(spark, sf):
+    number = lambda c: F.col(c).cast("string")
+    box = F.concat_ws(",", *(number(c) for c in CENTRES))
+    text = F.concat(
+        F.lit('{"images":[{"id":'), number("image_id"), F.lit(',"file_name":"a.png","width":'), number("img_w"), F.lit(',"height":'), number("img_h"), F.lit('}],"annotations":[{"id":1,"image_id":'), number("image_id"), F.lit(',"category_id":'), number("class_id"),
+        F.lit(',"bbox":['), box, F.lit(']}],"categories":[{"id":'), number("class_id"), F.lit(',"name":"{\\"'), number("class_id"), F.lit('"}]}'),
+    )
+    parsed = labels.parse_coco(ann(spark, sf).select(text.alias("text")))
+    each = parsed.select(F.col("coco.categories")[0]["name"].alias("name"), F.explode("coco.annotations").alias("a"))
+    return each.select("a.image_id", F.col("a.category_id").alias("class_id"), *(F.col("a.bbox")[k].alias(c) for k, c in enumerate(CENTRES)), "name").withColumn("class_id", F.col("class_id").cast("int"))
+
+
 @query("label_lines", r"WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '(\r\n|\r|\n)\z', '') AS body, coalesce(text, '') AS text FROM documents), s AS (SELECT doc_id, regexp_split_to_array(body, '\r\n|\r|\n') AS w FROM t WHERE text <> '') SELECT doc_id, CAST(sum(len(w)) AS BIGINT) AS n_lines FROM s GROUP BY doc_id")
 def _(spark, sf):
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
@@ -420,6 +439,48 @@ def _(spark, sf):
     return files.scan_images_by_letters(paths(spark, sf)).select("path")
 
 
+_FLAT = "p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN path ELSE replace(replace(path, '/', '_'), 'data', 'x') END AS path FROM f), s AS (SELECT path, regexp_extract(path, '\\.([^./]*)$', 1) AS suffix, strpos(path, '/') = 0 AS flat FROM p)"
+
+
+def flat_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Two thirds of the paths in the root folder."""
+    found = paths(spark, sf).withColumn("page_id", F.regexp_extract("path", r"img-(\d+)", 1).cast("long"))
+    flat = F.regexp_replace(F.regexp_replace("path", "/", "_"), "data", "x")
+    return files.with_parts(found.select(F.when(F.col("page_id") % 3 == 0, F.col("path")).otherwise(flat).alias("path"), "length"))
+
+
+@query("image_scan_flat", f"WITH {_PATHS}, {_FLAT} SELECT path FROM s WHERE flat AND regexp_matches(path, '\\.[jJpP][pPnN][gG]$')")
+def _(spark, sf):
+    return files.scan_images_by_letters(flat_paths(spark, sf), flat=True).select("path")
+
+
+@query("flip_scan", f"WITH {_PATHS}, {_FLAT} SELECT path FROM s WHERE flat AND lower(suffix) IN ('png', 'jpg', 'jpeg', 'bmp', 'gif')")
+def _(spark, sf):
+    return files.scan_flip_images(flat_paths(spark, sf)).select("path")
+
+
+@query("resize_scan", f"WITH {_PATHS}, {_FLAT} SELECT path FROM s WHERE flat AND suffix IN ('png', 'jpg', 'jpeg', 'bmp', 'PNG', 'JPG', 'JPEG')")
+def _(spark, sf):
+    return files.scan_resize_images(flat_paths(spark, sf)).select("path")
+
+
+@query("segment_scan", f"WITH {_PATHS}, {_FLAT} SELECT path FROM s WHERE flat AND lower(suffix) IN ('jpg', 'jpeg', 'png')")
+def _(spark, sf):
+    return files.scan_segment_images(flat_paths(spark, sf)).select("path")
+
+
+@query("video_scan", f"WITH {_PATHS}, {_FLAT} SELECT path FROM s WHERE lower(suffix) IN ('mov', 'avi', 'mp4', 'mpg', 'mpeg', 'm4v', 'wmv', 'mkv')")
+def _(spark, sf):
+    return files.scan_videos(flat_paths(spark, sf)).select("path")
+
+
+@query("label_scan", "WITH l AS (SELECT 'd' || CAST(doc_id % 5 AS VARCHAR) || '/' || CASE WHEN doc_id % 4 = 0 THEN 'classes' ELSE CAST(doc_id AS VARCHAR) END || CASE WHEN doc_id % 7 = 0 THEN '.xml' ELSE '.txt' END AS path FROM labels) SELECT path FROM l WHERE path LIKE '%.txt' AND path NOT LIKE '%/classes.txt'")
+def _(spark, sf):
+    name = F.when(F.col("doc_id") % 4 == 0, "classes").otherwise(F.col("doc_id").cast("string"))
+    path = F.concat(F.lit("d"), (F.col("doc_id") % 5).cast("string"), F.lit("/"), name, F.when(F.col("doc_id") % 7 == 0, ".xml").otherwise(".txt"))
+    return files.scan_labels(files.with_parts(table(spark, sf, "labels").select(path.alias("path"), F.lit(0).cast("long").alias("length"))), skip_classes=True).select("path")
+
+
 @query("media_scan", f"WITH {_PATHS}, s AS (SELECT path, CASE WHEN lower({_SUFFIX}) IN ('jpg', 'png', 'jpeg', 'bmp') THEN 'image' WHEN lower({_SUFFIX}) IN ('mp4', 'mkv') THEN 'video' END AS kind FROM f) SELECT path, kind FROM s WHERE kind IS NOT NULL")
 def _(spark, sf):
     return files.scan_media(paths(spark, sf)).select("path", "kind")
@@ -463,6 +524,30 @@ def _(spark, sf):
     return sinks.plan_empty_labels(_doc_files(spark, sf, "documents", ".jpg"), _doc_files(spark, sf, "labels", ".txt"))
 
 
+@query("move_plan", "WITH p AS (SELECT 'd' || CAST(doc_id % 3 AS VARCHAR) || '/' || CAST(doc_id % 40 AS VARCHAR) || '-' || CAST(doc_id % 2 AS VARCHAR) || '.txt' AS src, doc_id FROM labels), u AS (SELECT DISTINCT src FROM p), d AS (SELECT src, 'other/' || string_split(src, '/')[2] AS dst FROM u) SELECT src, dst, CASE WHEN src = max(src) OVER (PARTITION BY dst) THEN 'move' ELSE 'remove' END AS action FROM d")
+def _(spark, sf):
+    part = lambda n: (F.col("doc_id") % n).cast("string")
+    path = F.concat(F.lit("d"), part(3), F.lit("/"), part(40), F.lit("-"), part(2), F.lit(".txt"))
+    return sinks.plan_moves(table(spark, sf, "labels").select(path.alias("path")).distinct(), "other")
+
+
+@query("augmented_names", f"WITH {_PATHS} SELECT path, CAST(version AS INTEGER) AS version, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') || '_aug_' || CAST(version AS VARCHAR) || '.txt' AS name FROM f, (VALUES (1), (2)) v(version)")
+def _(spark, sf):
+    each = splits.replicate(paths(spark, sf).select("path"), 2)
+    return each.select("path", "version", names.augmented_name("path", F.col("version"), ".txt").alias("name"))
+
+
+@query("frame_rates", "SELECT event_id, CASE WHEN value > 0 THEN CAST(trunc(1e0 / nullif(value, 0)) AS INTEGER) END AS fps FROM events")
+def _(spark, sf):
+    return table(spark, sf, "events").select("event_id", geometry.frame_rate("value").alias("fps"))
+
+
+@query("readable_pairs", "SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 0")
+def _(spark, sf):
+    sides = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", "toxic", F.lit("x").alias("label")), "doc_id", "left")
+    return filters.readable(sides.withColumns({c: F.when(F.col("toxic") == 0, 8) for c in ("height", "width")})).select("doc_id")
+
+
 # Splits, replication, unions
 
 

@@ -55,7 +55,8 @@ def label_format_converter(spark: SparkSession, input_format: str, output_format
     numbered = objects.withColumn("line_no", F.monotonically_increasing_id())
     box = geometry.voc_to_yolo("xmin", "ymin", "xmax", "ymax", "width", "height")
     lines = sinks.converted_lines(numbered.withColumns(dict(zip(("xc", "yc", "w", "h"), box, strict=True))))
-    sinks.write_texts(sinks.file_texts(lines).withColumn("path", names.with_suffix("path", "." + output_format)), folder)
+    # Annotations without objects get an empty file.
+    sinks.write_texts(sinks.texts_of(found, lines).withColumn("path", names.with_suffix("path", "." + output_format)), folder)
 
 
 def move_labels(spark: SparkSession, root: str, source: str = "labels", dest: str = "other_classes", exact: bool = False) -> int:
@@ -71,8 +72,7 @@ def tweak_json_labels(spark: SparkSession, source: str, out: str) -> None:
     found = files.inventory(spark, source)
     chosen = files.scan_labels(found, skip_classes=True)
     kept = filters.remap_classes(labels.exploded(labels.read_texts(spark, source, chosen)))
-    texts = chosen.select("path").join(sinks.file_texts(kept), "path", "left").select("path", F.coalesce("text", F.lit("")).alias("text"))
-    sinks.write_texts(texts, out)
+    sinks.write_texts(sinks.texts_of(chosen, kept), out)
     pairs = joins.label_images(chosen, found).where("image IS NOT NULL")
     sinks.apply(sinks.plan(pairs, F.col("image"), F.col("image"), "copy"), source, out)
 
@@ -114,11 +114,17 @@ def _boxes(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
 
 
 def bbox_augmentation(spark: SparkSession, hyp_yaml: str, dataset: str, new_image: int = 5, out: str | None = None, seed: int = 0) -> int:
-    """Augmented versions of images and boxes below ``out`` (``aug_dataset`` in the dataset by default)."""
+    """Augmented versions of images and boxes below ``out`` (``aug_dataset`` in the dataset by default).
+
+    An image without a label, or a label without an image, raises before
+    anything is written.  Every version gets a label file, empty where no box
+    is left.
+    """
     hyp = labels.Hyperparameters.load(hyp_yaml)
     found = files.inventory(spark, dataset)
     texts = files.scan_labels(found, skip_classes=True)
-    pairs = joins.strict_pairs(files.scan_images(found), texts)
+    pairs = joins.strict_pairs(files.scan_images(found), texts).persist()
+    pairs.count()
     decoded = _images(spark, dataset)
     shapes = decoded.select(F.col("path").alias("image"), "width", "height")
     rows = pairs.join(shapes, "image").join(_boxes(spark, dataset, texts).withColumnRenamed("path", "label"), "label")
@@ -126,31 +132,34 @@ def bbox_augmentation(spark: SparkSession, hyp_yaml: str, dataset: str, new_imag
     box = F.struct("class_id", *(v.cast("double").alias(k) for k, v in corner.items()))
     boxes = rows.groupBy("image").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", box.alias("b")))), lambda x: x["b"]).alias("boxes"))
     sources = decoded.join(boxes.withColumnRenamed("image", "path"), "path", "left").withColumn("polygons", F.lit(None).cast("array<struct<class_id: int, points: array<struct<x: double, y: double>>>>"))
-    made = augment.augment_images(splits.replicate(sources, new_image), hyp, seed)
-    named = made.withColumn("out", names.augmented_name("path", F.col("version"), ".png"))
+    versions = splits.replicate(sources, new_image)
     target = out or f"{dataset}/aug_dataset"
-    n = sinks.write_pngs(named, target)
-    each = named.select(names.augmented_name("path", F.col("version"), ".txt").alias("path"), "width", "height", F.posexplode("boxes").alias("line_no", "b")).select("path", "width", "height", "line_no", "b.*")
+    n = sinks.write_pngs(augment.augment_images(versions, hyp, seed).withColumn("out", names.augmented_name("path", F.col("version"), ".png")), target)
+    label = names.augmented_name("path", F.col("version"), ".txt").alias("path")
+    moved = augment.augment_annotations(versions, hyp, seed)
+    each = moved.select(label, "width", "height", F.posexplode("boxes").alias("line_no", "b")).select("path", "width", "height", "line_no", "b.*")
     kept = filters.centred(each)
     unit = geometry.normalise(geometry.xyxy_to_xywh("x1", "y1", "x2", "y2"), "width", "height")
-    sinks.write_texts(sinks.file_texts(sinks.box_lines(kept.withColumns(dict(zip(("xc", "yc", "w", "h"), unit, strict=True))))), target)
+    sinks.write_texts(sinks.texts_of(versions.select(label), sinks.box_lines(kept.withColumns(dict(zip(("xc", "yc", "w", "h"), unit, strict=True))))), target)
     return n
 
 
 def seg_augmentation(spark: SparkSession, image_dir: str, annotation_dir: str, out: str, hyp_yaml: str, new_image: int = 5, seed: int = 0) -> int:
-    """Augmented versions of images and polygons; images without a label or that can't be read are left out."""
+    """Augmented versions of images and polygons; images without a label or that can't be read are left out, and those with an empty label get empty ones."""
     hyp = labels.Hyperparameters.load(hyp_yaml)
     found = files.scan_labels(files.inventory(spark, annotation_dir))
     parsed = labels.parse_polygons(labels.exploded(labels.read_texts(spark, annotation_dir, found)).where("trim(line) != ''"))
-    decoded = _images(spark, image_dir).withColumn("stem", names.stem("path"))
+    labelled = found.select(names.stem("path").alias("stem"), F.col("path").alias("label"))
+    decoded = filters.readable(_images(spark, image_dir).withColumn("stem", names.stem("path")).join(labelled, "stem"))
     shapes = decoded.select("stem", "width", "height")
     scaled = parsed.withColumn("stem", names.stem("path")).join(shapes, "stem").withColumn("points", geometry.scale_polygon("points", "width", "height"))
     polygons = scaled.groupBy("stem").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.struct("class_id", "points").alias("p")))), lambda x: x["p"]).alias("polygons"))
-    sources = decoded.join(polygons, "stem").withColumn("boxes", F.lit(None).cast("array<struct<class_id: int, x1: double, y1: double, x2: double, y2: double>>"))
-    named = augment.augment_images(splits.replicate(sources, new_image), hyp, seed).withColumn("out", names.augmented_name("path", F.col("version"), ".png"))
-    n = sinks.write_pngs(named, out)
-    each = named.select(names.augmented_name("path", F.col("version"), ".txt").alias("path"), "width", "height", F.posexplode("polygons").alias("line_no", "p")).select("path", "line_no", "p.class_id", geometry.correct_polygon(geometry.scale_polygon("p.points", 1.0 / F.col("width"), 1.0 / F.col("height")), "width", "height").alias("points"))
-    sinks.write_texts(sinks.file_texts(sinks.polygon_lines(each)), out)
+    sources = decoded.join(polygons, "stem", "left").withColumn("boxes", F.lit(None).cast("array<struct<class_id: int, x1: double, y1: double, x2: double, y2: double>>"))
+    versions = splits.replicate(sources, new_image)
+    n = sinks.write_pngs(augment.augment_images(versions, hyp, seed).withColumn("out", names.augmented_name("path", F.col("version"), ".png")), out)
+    label = names.augmented_name("path", F.col("version"), ".txt").alias("path")
+    each = augment.augment_annotations(versions, hyp, seed).select(label, "width", "height", F.posexplode("polygons").alias("line_no", "p")).select("path", "line_no", "p.class_id", geometry.correct_polygon(geometry.scale_polygon("p.points", 1.0 / F.col("width"), 1.0 / F.col("height")), "width", "height").alias("points"))
+    sinks.write_texts(sinks.texts_of(versions.select(label), sinks.polygon_lines(each)), out)
     return n
 
 
@@ -179,7 +188,10 @@ def capture_frame(spark: SparkSession, videos: list[str], selection: DataFrame,
 
 def detect_onnx(spark: SparkSession, models: list[str], frames: DataFrame, class_lists: list[DataFrame], conf_thres: list[float], img_size: int = 640) -> tuple[DataFrame, DataFrame]:
     """Detections above their model's threshold in whole pixels, and a summary for each frame and model."""
-    raw = inference.in_pixels(inference.detect(frames, models, img_size))
+    return _kept(spark, inference.in_pixels(inference.detect(frames, models, img_size)), class_lists, conf_thres)
+
+
+def _kept(spark: SparkSession, raw: DataFrame, class_lists: list[DataFrame], conf_thres: list[float]) -> tuple[DataFrame, DataFrame]:
     kept = filters.confident(raw, dict(enumerate(conf_thres, 1)))
     counts = kept.groupBy("path", "frame", "model", "class_id").agg(F.count("*").alias("n"))
     said = [aggregates.summaries(counts.where(F.col("model") == k), classes) for k, classes in enumerate(class_lists, 1)]
@@ -215,7 +227,9 @@ def detect(
     frames = images.read_frames(spark, [source]) if source.endswith(".npy") else _images(spark, source).withColumn("frame", F.lit(1))
     models = [onnx, *([second_onnx] if second_onnx else [])]
     lists = [_class_file(spark, classes_txt), *([_class_file(spark, second_classes_txt or classes_txt)] if second_onnx else [])]
-    kept, summary = detect_onnx(spark, models, frames, lists, [conf_thres, second_conf_thres][: len(models)], img_size)
+    # Scored once; drawings, texts, crops and the summary all read these rows.
+    raw = inference.in_pixels(inference.detect(frames, models, img_size)).persist()
+    kept, summary = _kept(spark, raw, lists, [conf_thres, second_conf_thres][: len(models)])
     if out:
         box = F.struct("class_id", *(F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
         boxed = lambda rows: frames.join(rows.groupBy("path", "frame").agg(F.collect_list(box).alias("boxes")), ["path", "frame"])
@@ -224,7 +238,6 @@ def detect(
             drawn = augment.drawn(boxed(kept).withColumn("path", tagged), pixels.class_colours(256))
             sinks.write_pngs(drawn.withColumn("out", F.concat("path", F.lit(".png"))), out)
         if save_boxes:
-            raw = inference.in_pixels(inference.detect(frames, models, img_size))
             for k in range(1, len(models) + 1):
                 cut = augment.crops(boxed(raw.where(F.col("model") == k)).withColumn("path", tagged)).where("height > 0 AND width > 0")
                 sinks.write_pngs(cut.withColumn("out", names.crop_name("path", F.lit(k), F.col("number"))), f"{out}/crops")

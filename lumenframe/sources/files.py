@@ -2,8 +2,8 @@
 
 Spark's file sources drop empty files and names that start with "_" or ".",
 and empty label files mean something here.  So inventories come from a listing
-by the file system itself, of which each folder of the first level is a task's
-work for a large tree (``depth``).
+by the file system itself: the driver lists the first level alone, and each
+folder in it is listed by an executor.
 """
 
 from __future__ import annotations
@@ -20,21 +20,42 @@ MEDIA_VIDEOS = ("mov", "avi", "mp4", "mpg", "mpeg", "m4v", "wmv", "mkv")
 CAPTURE_VIDEOS = MEDIA_VIDEOS
 
 
-def _listing(spark: SparkSession, root: str) -> list[tuple[str, int]]:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, files = [], fs.listFiles(path, True)
-    base = fs.makeQualified(path).toUri().getPath().rstrip("/")
-    while files.hasNext():
-        f = files.next()
-        found.append((f.getPath().toUri().getPath()[len(base) + 1 :], f.getLen()))
-    return found
+LISTING = "path string, length long"
+
+
+def _first_level(spark: SparkSession, root: str) -> tuple[list[tuple[str, int]], list[str]]:
+    """Files (name, length) and folders right below ``root``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    here = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    found = [(s.getPath().getName(), s.getLen(), s.isDirectory()) for s in here]
+    return [(name, n) for name, n, folder in found if not folder], [name for name, _, folder in found if folder]
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """All files below ``root``: path relative to it, dir, stem, suffix, length.  A missing root raises."""
-    listed = spark.createDataFrame(_listing(spark, root), "path string, length long")
+    """All files below ``root``: path relative to it, dir, stem, suffix, length.  A missing root raises.
+
+    What is found is held, so files written later don't show in it.
+    """
+    near, folders = _first_level(spark, root)
+
+    def below(batches):
+        import pandas as pd
+        from pyarrow.fs import FileSelector, FileSystem, FileType
+
+        fs, base = FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        base = base.rstrip("/")
+        for batch in batches:
+            for folder in batch["folder"]:
+                found = fs.get_file_info(FileSelector(f"{base}/{folder}", recursive=True))
+                rows = [(x.path[len(base) + 1 :], x.size) for x in found if x.type == FileType.File and not (x.base_name.startswith(".") and x.base_name.endswith(".crc"))]
+                yield pd.DataFrame(rows, columns=["path", "length"]).astype({"path": "object", "length": "int64"})
+
+    listed = spark.createDataFrame(near, LISTING)
+    if folders:
+        parts = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), 4 * spark.sparkContext.defaultParallelism))
+        listed = listed.unionByName(parts.mapInPandas(below, LISTING))
+    listed = listed.persist()
+    listed.count()
     return with_parts(listed)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +32,9 @@ class FrameSource(DataSource):
     """Frames of videos stored as arrays (frames, height, width, channels) in ``.npy`` files, one partition each.
 
     Options: ``path``, with one file's or several by commas.  Containers with
-    codecs need a decoder library; ``decoder`` names a ``module:function`` from a
-    path to frames.
+    codecs, and live addresses, need a library that reads them; ``decoder`` names
+    a ``module:function`` from a path or an address to frames: a sequence, of
+    which only what is asked for is read, or an iterable, which is walked.
     """
 
     @classmethod
@@ -49,24 +51,31 @@ class FrameSource(DataSource):
         return _FrameStream(self.options)
 
 
-def _frames(path: str, decoder: str | None) -> Iterator:
+def _frames(path: str, decoder: str | None):
+    """The frames of a video: a sequence where the file or the decoder gives one, else something to walk."""
     import importlib
 
     import numpy as np
 
     if decoder:
         module, _, function = decoder.partition(":")
-        yield from getattr(importlib.import_module(module), function)(path)
-    else:
-        yield from np.load(path, mmap_mode="r")
+        return getattr(importlib.import_module(module), function)(path)
+    return np.load(path, mmap_mode="r")
+
+
+def _length(frames) -> int:
+    """Frames in all; only what has no length of its own is walked."""
+    return len(frames) if hasattr(frames, "__len__") else sum(1 for _ in frames)
 
 
 def _rows(path: str, decoder: str | None, start: int = 0, stop: int | None = None) -> Iterator[tuple]:
-    for k, image in enumerate(_frames(path, decoder)):
-        if stop is not None and k >= stop:
-            break
-        if k >= start:
-            yield path, k + 1, *(int(x) for x in image.shape), image.tobytes()
+    frames = _frames(path, decoder)
+    if hasattr(frames, "__len__") and hasattr(frames, "__getitem__"):
+        chosen = ((k, frames[k]) for k in range(start, len(frames) if stop is None else min(stop, len(frames))))
+    else:
+        chosen = islice(enumerate(frames), start, stop)
+    for k, image in chosen:
+        yield path, k + 1, *(int(x) for x in image.shape), image.tobytes()
 
 
 class _FrameReader(DataSourceReader):
@@ -99,7 +108,7 @@ class _FrameStream(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         if self.most is None:
-            self.most = max(sum(1 for _ in _frames(p, self.decoder)) for p in self.paths)
+            self.most = max(_length(_frames(p, self.decoder)) for p in self.paths)
         self.at = min(self.at + self.step, self.most)
         return {"frame": self.at}
 

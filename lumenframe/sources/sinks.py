@@ -162,13 +162,39 @@ def write_texts(texts: DataFrame, root: str, append: bool = False) -> int:
     return _spread(texts.select("path", "text")).mapInPandas(work, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def texts_of(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """(path, text) for each of ``files``: its lines, or an empty text where ``rows`` has none for it."""
+    return files.select("path").join(file_texts(rows), "path", "left").select("path", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def write_manifest(paths: DataFrame, root: str, file: str) -> None:
-    """One text file of absolute paths, sorted by path part."""
-    ordered = paths.orderBy(F.split("path", "/")).select(F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("line"))
-    one = ordered.withColumn("line_no", F.monotonically_increasing_id())
-    text = one.agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
-    folder, _, name = file.rpartition("/")
-    write_texts(text.select(F.lit(name).alias("path"), F.coalesce("text", F.lit("")).alias("text")), folder)
+    """One text file of absolute paths, sorted by path part.
+
+    Executors sort ranges of the paths; one task reads the ranges in order and
+    writes line by line, so no more than a batch of lines is held at a time.
+    """
+    base = root.rstrip("/") + "/"
+    ordered = paths.orderBy(F.split("path", "/")).select(F.concat(F.lit(base), "path").alias("line")).coalesce(1)
+
+    def work(batches):
+        import os
+        import uuid
+
+        import pandas as pd
+
+        fs, path = _opened(file)
+        fs.create_dir(os.path.dirname(path), recursive=True)
+        part = f"{os.path.dirname(path)}/.{uuid.uuid4().hex}.part"
+        n = 0
+        with fs.open_output_stream(part) as f:
+            for batch in batches:
+                f.write("".join(f"{line}\n" for line in batch["line"]).encode())
+                n += len(batch)
+        fs.move(part, path)
+        yield pd.DataFrame({"n": [n]})
+
+    if not ordered.mapInPandas(work, "n long").collect():
+        write_texts(paths.sparkSession.createDataFrame([(file.rpartition("/")[2], "")], "path string, text string"), file.rpartition("/")[0])
 
 
 def write_pngs(images: DataFrame, root: str) -> int:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.functions import pixels
-from lumenframe.operators import inference
+from lumenframe.operators import augment, inference
 from lumenframe.plans import commands
 from lumenframe.sources import files, images, labels, sinks
 from lumenframe.streaming import live
@@ -129,6 +129,128 @@ def test_augmentation(spark, dataset, tmp_path):
         labels.Hyperparameters.load(f"{tmp_path}/bad.yaml")
 
 
+@pytest.mark.parametrize("odd", ["image", "label", "twice"])
+def test_unmatched_files_raise_before_anything_is_written(spark, dataset, tmp_path, odd):
+    put(f"{tmp_path}/hyp.yaml", YAML)
+    commands.add_empty_labels(spark, dataset)
+    if odd == "image":
+        os.remove(f"{dataset}/c.txt")
+    elif odd == "label":
+        put(f"{dataset}/z.txt", "0 0.5 0.5 0.5 0.5\n")
+    else:
+        save(f"{dataset}/a.PNG", np.zeros((8, 8, 3), np.uint8))
+    with pytest.raises(Exception, match="image and label don't match"):
+        commands.bbox_augmentation(spark, f"{tmp_path}/hyp.yaml", dataset, 1, f"{tmp_path}/out")
+    assert not os.path.exists(f"{tmp_path}/out")
+
+
+def test_every_version_has_a_label_file(spark, dataset, tmp_path):
+    """Background images keep their empty label, for boxes and for polygons."""
+    put(f"{tmp_path}/hyp.yaml", YAML)
+    commands.add_empty_labels(spark, dataset)
+    assert commands.bbox_augmentation(spark, f"{tmp_path}/hyp.yaml", dataset, 2, f"{tmp_path}/out") == 6
+    assert tree(f"{tmp_path}/out") == sorted(f"{n}_aug_{k}.{e}" for n in "abc" for k in (1, 2) for e in ("png", "txt"))
+    assert all(os.path.getsize(f"{tmp_path}/out/{n}_aug_{k}.txt") == 0 for n in "bc" for k in (1, 2)) and os.path.getsize(f"{tmp_path}/out/a_aug_1.txt")
+    put(f"{tmp_path}/seg/a.txt", "2 0.1 0.1 0.9 0.1 0.5 0.9\n")
+    put(f"{tmp_path}/seg/c.txt", "")
+    assert commands.seg_augmentation(spark, dataset, f"{tmp_path}/seg", f"{tmp_path}/segout", f"{tmp_path}/hyp.yaml", 1) == 2
+    assert tree(f"{tmp_path}/segout") == ["a_aug_1.png", "a_aug_1.txt", "c_aug_1.png", "c_aug_1.txt"]
+    assert os.path.getsize(f"{tmp_path}/segout/c_aug_1.txt") == 0
+
+
+def test_annotations_move_as_with_their_pixels(spark, dataset):
+    hyp = labels.Hyperparameters(0.015, 0.7, 0.4, 10, 0.1, 0.2, 5, 0.5, 0.5)
+    box, polygon = "array<struct<class_id: int, x1: double, y1: double, x2: double, y2: double>>", "array<struct<class_id: int, points: array<struct<x: double, y: double>>>>"
+    given = images.read_images(spark, dataset).withColumns({"boxes": F.expr(f"CAST(array(struct(1, 1, 2, 9, 8)) AS {box})"), "polygons": F.expr(f"CAST(array(struct(2, array(struct(1, 2), struct(5, 6)))) AS {polygon})"), "version": F.lit(3)})
+    said = ("path", "version", "polygons", "boxes")
+    whole = augment.augment_images(given, hyp).select(*said)
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, augment.augment_annotations(given, hyp).select(*said).collect()))
+
+
+def test_annotation_without_objects(spark, tmp_path):
+    put(f"{tmp_path}/l/none.xml", "<annotation><size><width>3</width><height>7</height></size></annotation>")
+    put(f"{tmp_path}/classes.txt", "x\n")
+    commands.label_format_converter(spark, "xml", "txt", f"{tmp_path}/l", f"{tmp_path}/classes.txt")
+    assert tree(f"{tmp_path}/l") == ["none.txt", "none.xml"] and os.path.getsize(f"{tmp_path}/l/none.txt") == 0
+
+
+def test_manifest_of_many_and_of_none(spark, tmp_path):
+    rows = [(f"d{k % 7}/x{k * 37 % 500}.png",) for k in range(500)]
+    sinks.write_manifest(spark.createDataFrame(rows, "path string").repartition(7), "/data/", f"{tmp_path}/m/all.txt")
+    with open(f"{tmp_path}/m/all.txt") as f:
+        assert f.read().splitlines() == [f"/data/{'/'.join(p)}" for p in sorted(r[0].split("/") for r in rows)]
+    sinks.write_manifest(spark.createDataFrame([], "path string"), "/data", f"{tmp_path}/m/none.txt")
+    assert os.path.getsize(f"{tmp_path}/m/none.txt") == 0
+    assert tree(f"{tmp_path}/m") == ["all.txt", "none.txt"]
+
+
+def test_inventory_of_deep_trees(spark, tmp_path):
+    for k in range(12):
+        put(f"{tmp_path}/t/d{k}/e/f g%20+/x{k}.txt", "y" * k)
+    put(f"{tmp_path}/t/top.txt", "z")
+    found = {(r.path, r.length) for r in files.inventory(spark, f"{tmp_path}/t").collect()}
+    assert found == {(f"d{k}/e/f g%20+/x{k}.txt", k) for k in range(12)} | {("top.txt", 1)}
+    with pytest.raises(Exception, match="(?i)not exist|no such"):
+        files.inventory(spark, f"{tmp_path}/absent")
+
+
+def test_frames_of_decoders(spark, tmp_path):
+    """A decoder may give a sequence or an iterable; a live source is one with an end of its own."""
+    for name in ("sequence", "walked"):
+        found = images.read_frames(spark, ["rtsp://camera"], f"tests.readers:{name}").orderBy("frame").collect()
+        assert [(r.frame, r.data[0]) for r in found] == [(k + 1, k) for k in range(5)]
+        seen = []
+        stream = spark.readStream.format("frames").option("path", "rtsp://camera").option("decoder", f"tests.readers:{name}").option("perBatch", 2).load()
+        query = live.conflated(stream, "path", ("frame",), lambda batch, n, seen=seen: seen.append([r.frame for r in batch.select("frame").collect()]), f"{tmp_path}/{name}", now=False)
+        query.processAllAvailable()
+        assert [x for x in seen if x] == [[2], [4], [5]]
+        assert len(live.rates(query)) == 3 and all(rate > 0 for _, rate in live.rates(query))
+        query.stop()
+
+
+def test_outputs_by_path(spark, tmp_path):
+    """A batch that runs again replaces its own rows and no others."""
+    write = live.write_by_path(f"{tmp_path}/out")
+    one = spark.createDataFrame([("a", 1), ("b", 2)], "path string, frame int")
+    write(one, 0)
+    write(spark.createDataFrame([("a", 3)], "path string, frame int"), 1)
+    write(one, 0)
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.path, r.batch, r.frame) for r in found.collect()) == [("a", 0, 1), ("a", 1, 3), ("b", 0, 2)]
+
+
+class Counting:
+    """A model that says how many images it was given, and their means."""
+
+    calls = []
+
+    def __init__(self, first):
+        self.first = first
+
+    def get_inputs(self):
+        return [type("Input", (), {"name": "x", "shape": [self.first, 3, 4, 4]})]
+
+    def get_outputs(self):
+        return [type("Output", (), {"name": "y"})]
+
+    def run(self, outputs, inputs):
+        x = inputs["x"]
+        self.calls.append(len(x))
+        return [np.array([[k, 0, 0, 1, 1, k, v.mean()] for k, v in enumerate(x) if v.mean() > 0], np.float32)]
+
+
+@pytest.mark.parametrize(("first", "calls"), [("batch", [4, 3]), (1, [1] * 7), (3, [3, 3, 3])])
+def test_batches_of_images(monkeypatch, first, calls):
+    model = Counting(first)
+    monkeypatch.setattr(Counting, "calls", [])
+    monkeypatch.setattr(inference, "session", lambda _: model)
+    tensors = np.stack([np.full((3, 4, 4), k / 8, np.float32) for k in range(7)])
+    found = dict(inference.run_batches("m", tensors, 4))
+    assert model.calls == calls
+    assert [len(found[k]) for k in range(7)] == [0, 1, 1, 1, 1, 1, 1]
+    assert all(abs(found[k][0, 5] - k / 8) < 1e-6 for k in range(1, 7))
+
+
 def test_plot(spark, dataset, tmp_path):
     put(f"{tmp_path}/classes.txt", "x\ny")
     found = commands.plot_yolo_labels(spark, dataset, f"{tmp_path}/classes.txt", 0, f"{tmp_path}/drawn").collect()
