@@ -28,6 +28,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -202,11 +203,12 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str], together: int = 4096) -> None:
-        plain: list[str] = []
-        odd: list[str] = []
-        for u in new:
-            (plain if u[:1] == " " and len(u) > 1 and u.find(" ", 1) < 0 and not u[1].isspace() else odd).append(u)
+    def _learn(self, new: set[str]) -> None:
+        plain = [u for u in new if u[:1] == " " and len(u) > 1 and u.find(" ", 1) < 0 and not u[1].isspace()]
+        self._remember(plain, list(set(new).difference(plain)))
+
+    def _remember(self, plain: list[str], odd: list[str], together: int = 4096) -> None:
+        """Remember units: ``plain`` ones start with their only blank, before a visible character."""
         joined = self._ids(["".join(plain[at : at + together]) for at in range(0, len(plain), together)])
         flat = np.concatenate([np.array(ids, np.uint32) for ids in joined] or [np.empty(0, np.uint32)])
         begins = np.flatnonzero(self.starts[flat])
@@ -214,7 +216,8 @@ class Encoder:
             raise ValueError("the vocabulary does not mark where words start")
         alone = self._ids(odd)
         sizes = np.concatenate([np.diff(np.append(begins, len(flat))), np.fromiter(map(len, alone), np.int64, len(alone))])
-        self.known.update(zip([*plain, *odd], range(len(self.known), len(self.known) + len(new)), strict=True))
+        n = len(self.known)
+        self.known.update(zip(chain(plain, odd), range(n, n + len(plain) + len(odd)), strict=True))
         self.flat = np.concatenate([self.flat, flat, *(np.array(ids, np.uint32) for ids in alone)])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
 
@@ -241,17 +244,21 @@ class Encoder:
         pieces = lists.flatten().dictionary_encode()
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         firsts, sizes = offsets[:-1], np.diff(offsets)
-        index, names = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
+        index, names = pieces.indices.to_numpy(), pieces.dictionary
         doc = np.repeat(np.arange(len(texts)), sizes)
 
-        unsafe = np.fromiter((not x or x[0].isspace() for x in names), bool, len(names))[index]
+        # What follows a blank and is empty or starts with white space belongs to a text that is encoded apart.
+        bad = pc.or_(pc.equal(pc.binary_length(names), 0), pc.utf8_is_space(pc.utf8_slice_codeunits(names, 0, 1))).to_numpy(zero_copy_only=False).astype(bool)
+        unsafe = bad[index]
         unsafe[firsts] = False
         odd = np.unique(doc[unsafe])
-        heads = [names[k] for k in index[firsts]]
-        units = [" " + x for x in names]
-        if new := set(units).union(heads).difference(self.known):
-            self._learn(new)
-        which = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))[index]
+        heads = names.take(pa.array(index[firsts])).to_pylist()
+        units = pc.binary_join_element_wise("", names, " ").to_pylist()
+        ids = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero((ids < 0) & ~bad)
+        ids[new] = np.arange(len(self.known), len(self.known) + len(new))
+        self._remember([units[k] for k in new], list(set(heads).difference(self.known)))
+        which = ids[index]
         which[firsts] = np.fromiter(map(self.known.__getitem__, heads), np.int64, len(heads))
         plain = np.ones(len(texts), bool)
         plain[odd] = False
