@@ -197,9 +197,9 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, s: Settings, text: str) -> Da
                 found = pa.array([x.tobytes() for x in shingler.sets(batch.column(2).to_pylist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["cid", "signature", "shingles"])
 
-    # Held by itself, so that Spark knows its size in bytes and sends it to all executors only below its own threshold.
-    keys = common.hold(wanted.select("cid", "did", "tie"))
-    texts = _texts(docs, text).join(keys, ["did", "tie"]).select("cid", "body")
+    # Candidates grow with the documents, so they meet the texts by a shuffle at any size.
+    keys = wanted.select("cid", "did", "tie")
+    texts = _texts(docs, text).join(keys.hint("merge"), ["did", "tie"]).select("cid", "body")
     # Rows repeated with id and text match more than once.
     once = texts.groupBy("cid").agg(F.first("body").alias("body"))
     return once.join(wanted.select("cid", "signature"), "cid").select("cid", "signature", "body").mapInArrow(sets, "cid long, signature binary, shingles binary")
