@@ -72,6 +72,7 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         spark = df.sparkSession
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        # An empty table has no files, and nothing to delete.
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)

@@ -264,6 +264,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, c: Curves = Curves
 
     with common.arrow_rows(spark, 512):
         found = common.materialize(both.select("role", "cid", "first_id", "floor", "vector").mapInArrow(check, "query long, cid long, score double"), "ann-found")
+    common.discard(along)
     ids = classes.select("cid", "ids", F.col("ids")[0].alias("first_id"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "first_id")
     top = found.join(ids, "cid").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
