@@ -103,6 +103,16 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def row_key(text: str = "text") -> Column:
+    """A hash of doc_id and text, which tells null from empty; it names a row but for its copies."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.md5(F.col(text)), F.lit(""))))
+
+
+def hash_range(hex_key: Column, ranges: int) -> Column:
+    """The range of a hash, of so many of equal width, in the hash's order."""
+    return F.floor(F.conv(F.substring(hex_key, 1, 8), 16, 10).cast("double") / 2.0**32 * ranges).cast("long")
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, null as none."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

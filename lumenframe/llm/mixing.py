@@ -58,15 +58,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return rows.select("sk", "source_size", target.alias("target"), F.floor("budget").alias("budget"))
 
 
-def _ranged(hex_key: Column, ranges: int) -> Column:
-    """The range of a hash, of so many of equal width, in the hash's order."""
-    return F.floor(F.conv(F.substring(hex_key, 1, 8), 16, 10).cast("double") / 2.0**32 * ranges).cast("long")
-
-
 def _keys(text: str) -> dict[str, Column]:
     return {
         "sk": F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")),
-        "key": F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.md5(F.col(text)), F.lit("")))),
+        "key": common.row_key(text),
     }
 
 
@@ -81,7 +76,7 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     slim = each.groupBy("sk", "key").agg(F.max("doc_id").alias("doc_id"), F.max("source").alias("source"), F.max("size").alias("size"), F.count("*").alias("copies"))
     slim = common.materialize(slim, "mix-sizes")
     ranges = max(256, (slim.agg(F.sum("copies")).first()[0] or 0) // RANGE_ROWS)
-    slim = slim.withColumns({"r": _ranged(F.col("key"), ranges), "words": F.col("size") * F.col("copies")})
+    slim = slim.withColumns({"r": common.hash_range(F.col("key"), ranges), "words": F.col("size") * F.col("copies")})
     totals = slim.groupBy("sk", "r").agg(F.max("source").alias("source"), F.sum("words").alias("words"))
     targets = source_targets(totals.groupBy("sk").agg(F.max("source").alias("source"), F.sum("words").alias("source_size")), weights, share, most)
     earlier = Window.partitionBy("sk").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)

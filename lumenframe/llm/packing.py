@@ -92,7 +92,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, text: st
     """doc_id, length (words), bucket, bucket_length, batch and slot of each row, and the other columns but the text."""
     outputs = ("length", "bucket", "bucket_length", "batch", "slot")
     others = [c for c in docs.columns if c not in (text, *outputs)]
-    slim = docs.select(F.struct(*others).alias("row"), common.word_count(F.col(text)).alias("length"), F.xxhash64("doc_id", common.text_or_empty(text)).alias("_hash"))
+    slim = docs.select(F.struct(*others).alias("row"), common.word_count(F.col(text)).alias("length"), common.row_key(text).alias("_hash"))
     if "map<" in slim.schema["row"].dataType.simpleString():
         # Maps can't be grouped by.
         slim = slim.withColumns({"copies": F.lit(1).cast("long"), "_tie": F.xxhash64("length")})
@@ -104,12 +104,11 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, text: st
         return slim.select("row.*", "length", *(F.lit(0).cast("long").alias(c) for c in outputs[1:]))
     bucket = sum((F.when(F.col("length") > x, 1).otherwise(0) for x in limits[:-1]), F.lit(0)).cast("long")
     ranges = max(64, slim.agg(F.sum("copies")).first()[0] // RANGE_ROWS)
-    in_range = F.floor((F.col("_hash").cast("double") / 2.0**64 + 0.5) * ranges)
-    rows = slim.withColumns({"bucket": bucket, "_range": in_range})
+    rows = slim.withColumns({"bucket": bucket, "_range": common.hash_range(F.col("_hash"), ranges)})
     counts = rows.groupBy("bucket", "_range").agg(F.sum("copies").alias("n"))
     before = Window.partitionBy("bucket").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    order = Window.partitionBy("bucket", "_range").orderBy("_hash", "row.doc_id", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("bucket", "_range").orderBy("_hash", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("_place", F.sum("copies").over(order) - F.col("copies")).join(offsets, ["bucket", "_range"]).withColumn("_place", F.col("_place") + F.col("_before"))
     pieces = placed.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))).repartition("bucket", "_place", "_piece")
     first = F.col("_piece") * COPIES
@@ -124,4 +123,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table("documents")(spark, sf_dir).select("doc_id", "text"))
 
 
+_OP8 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS k,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS length FROM documents),
+x AS (SELECT length, row_number() OVER (ORDER BY length) AS j, CAST(sum(count(*)) OVER (ORDER BY length) AS BIGINT) AS upto FROM d GROUP BY length),
+p AS (SELECT 0 AS j, 0 AS length, 0 AS upto UNION ALL SELECT j, length, upto FROM x),
+t(layer, j, total, start) AS (SELECT 1, j, length * upto, 0 FROM p
+    UNION ALL SELECT t.layer + 1, y.j, min(t.total + y.length * (y.upto - p.upto)), arg_min(t.j, [t.total + y.length * (y.upto - p.upto), t.j])
+    FROM t JOIN p ON p.j = t.j JOIN p y ON t.j < y.j OR (t.j = 0 AND y.j = 0) WHERE t.layer < {BUCKETS} GROUP BY t.layer, y.j),
+m AS (SELECT max(j) AS m FROM x),
+e AS (SELECT t.layer, total, lag(total) OVER (ORDER BY t.layer) AS before FROM t, m WHERE j = m AND t.layer <= m),
+k AS (SELECT coalesce(min(layer) FILTER (WHERE total >= before) - 1, max(layer)) AS k FROM e),
+w(layer, j) AS (SELECT k, m FROM k, m UNION ALL SELECT w.layer - 1, t.start FROM w JOIN t ON t.layer = w.layer AND t.j = w.j WHERE w.layer > 1 AND t.start > 0),
+b AS (SELECT x.length AS bucket_length, row_number() OVER (ORDER BY x.length) - 1 AS bucket, coalesce(lag(x.length) OVER (ORDER BY x.length), -1) AS above FROM (SELECT DISTINCT j FROM w) JOIN x USING (j)),
+q AS (SELECT doc_id, length, bucket, bucket_length, row_number() OVER (PARTITION BY bucket ORDER BY k, rid) - 1 AS place, greatest({BUDGET} // greatest(bucket_length, 1), 1) AS holds FROM d JOIN b ON length > above AND length <= bucket_length)
+SELECT doc_id, length, bucket, bucket_length, place // holds AS batch, place % holds AS slot FROM q"""
+
 QUERIES = {"op8_packing": op8_packing}
+ORACLE_SQL = {"op8_packing": _OP8}

@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from lumenframe.llm import mixing, packing
+from lumenframe.llm import common, mixing, packing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -70,7 +70,7 @@ def test_rows_without_ids_spread(spark):
     rows = spark.range(20_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'s' AS source", "CAST(id AS STRING) AS text")
     turns = mixing.schedule(rows)
     assert turns.select("key").distinct().count() == 20_000
-    spread = rows.select(mixing._ranged(mixing._keys("text")["key"], 64).alias("r")).groupBy("r").count().collect()
+    spread = rows.select(common.hash_range(common.row_key(), 64).alias("r")).groupBy("r").count().collect()
     assert len(spread) == 64 and max(r["count"] for r in spread) < 500
     assert turns.agg(mixing.F.sum("taken")).first()[0] == 30_000
 
@@ -118,6 +118,28 @@ def test_limits_of_long_lengths(seed):
         assert padding(lengths, counts, limits) == quadratic(lengths, counts, buckets)
 
 
+def test_limits_among_equals():
+    """Of limits with the same padding, those that the plain recurrence gives by the lowest places."""
+    rng = random.Random(7)
+    for _ in range(1500):
+        n, buckets = rng.randint(1, 9), rng.randint(1, 5)
+        lengths, counts = sorted(rng.sample(range(12), n)), [rng.randint(1, 3) for _ in range(n)]
+        upto = [0, *itertools.accumulate(counts)]
+        total, came = [0, *(size * m for size, m in zip(lengths, upto[1:], strict=True))], []
+        for _ in range(1, min(buckets, n)):
+            best = [min((total[i] + lengths[j - 1] * (upto[j] - upto[i]), i) for i in range(j)) for j in range(1, n + 1)]
+            if best[-1][0] >= total[n]:
+                break
+            total, came = [0, *(b[0] for b in best)], [*came, [0, *(b[1] for b in best)]]
+        limits, at = {lengths[-1]}, n
+        for start in reversed(came):
+            at = start[at]
+            limits |= {lengths[at - 1]} if at else set()
+            if not at:
+                break
+        assert packing.best_limits(lengths, counts, buckets) == sorted(limits), (lengths, counts, buckets)
+
+
 def test_limits_of_many_lengths_are_quick():
     begin = time.process_time()
     packing.best_limits(list(range(50_000)), [1 + k % 7 for k in range(50_000)])
