@@ -497,7 +497,7 @@ def _(spark, sf):
     return paths(spark, sf).select("path", "dir", "stem", "suffix", names.with_suffix("path", ".txt").alias("label"))
 
 
-@query("clean_names", "SELECT page_id, regexp_replace(url, '[|@#!¡·$€%&()=?¿^*;:,¨´><+]', '_', 'g') AS name FROM pages")
+@query("clean_names", f"SELECT page_id, regexp_replace(url, '[{names.SPECIAL}]', '_', 'g') AS name FROM pages")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", names.clean("url").alias("name"))
 
