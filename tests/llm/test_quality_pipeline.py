@@ -1,9 +1,13 @@
+import hashlib
+import itertools
 import random
+import re
 
 import numpy as np
 
 import corpus_pipeline
-from lumenframe.llm import common, mixing, near_dups, quality
+from lumenframe.llm import common, mixing, near_dups, packing, quality, secrets
+from tests.llm.test_near_dups import plain
 
 SF = "/root/testdata/sf0.001"
 
@@ -150,8 +154,6 @@ def test_pipeline(spark):
     before = near_dups.near_duplicates(inputs["near_dups"]).collect()
     after = {r.doc_id for r in inputs["secrets"].collect()}
     assert after == {r.component_id for r in before}
-    from lumenframe.llm import secrets
-
     clean = secrets.BlobLedger(spark, common.scratch(spark, "ledger")).scan(inputs["mixing"].select("doc_id", "text"))
     assert clean.where("size(spans) > 0").count() == 0
     assert {r.doc_id for r in inputs["mixing"].collect()} == after
@@ -160,3 +162,106 @@ def test_pipeline(spark):
     assert docs.count() == inputs["packing"].count()
     assert docs.select("bucket", "batch", "slot").distinct().count() == docs.count()
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def plain_redaction(text):
+    """A text with the stretches that any rule finds replaced."""
+    found = []
+    for rank, rule in enumerate(secrets.RULES.rules):
+        found += [(m.start(), rank, m.end(), rule.kind) for m in re.finditer(rule.pattern, text or "", re.A) if len(m[rule.group]) >= rule.least]
+    out, at = [], 0
+    for start, _, end, kind in sorted(found):
+        if start < at:
+            at = max(at, end)
+        else:
+            out, at = [*out, text[at:start], f"<{kind}>"], end
+    return "".join([*out, text[at:]]) if found else text
+
+
+WORD = re.compile(common.WORD)
+
+
+def size_of(text):
+    return len(WORD.findall(text or ""))
+
+
+def key_of(doc_id, text):
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    return md5(f"{'' if doc_id is None else doc_id}:{'' if text is None else md5(text)}")
+
+
+def plain_mix(rows):
+    """Rows (doc_id, text, source) served in order of virtual finish time, cut once."""
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + size_of(text)
+    names = sorted((n for n in sizes if n is not None), key=str.encode) + [None] * (None in sizes)
+    weight = {n: float(mixing.WEIGHTS[k % 3]) for k, n in enumerate(names)}
+    order = sorted(names, key=lambda n: (2.0 * sizes[n] / weight[n], n is None, (n or "").encode()))
+    budget, used, level = 1.5 * sum(sizes.values()), 0.0, None
+    for k, n in enumerate(order):
+        level = (budget - used) / sum(weight[x] for x in order[k:])
+        if 2.0 * sizes[n] / weight[n] > level:
+            break
+        used, level = used + 2.0 * sizes[n], None
+    target = {n: 2.0 * sizes[n] if level is None else min(2.0 * sizes[n], weight[n] * level) for n in names}
+    entries, out = [], [r for r in rows if not size_of(r[1])]
+    for n in names:
+        upto = 0
+        for key, row in sorted((key_of(r[0], r[1]), r) for r in rows if r[2] == n and size_of(r[1])):
+            upto += size_of(row[1])
+            entries += [((turn * sizes[n] + upto) / target[n], "" if n is None else f"={n}", key, turn, row) for turn in (0, 1)]
+    left = int(budget)
+    for *_, row in sorted(entries):
+        size = size_of(row[1])
+        if left >= size:
+            out.append(row)
+        elif left > 0:
+            out.append((row[0], "".join(re.findall(r"[\x20\x09-\x0D]*" + common.WORD, row[1])[:left]), row[2]))
+        left -= size
+    return out
+
+
+def plain_pack(rows):
+    """Rows (doc_id, text, source) with their place, limits by the plain recurrence."""
+    lengths = sorted({size_of(r[1]) for r in rows})
+    counts = [sum(size_of(r[1]) == x for r in rows) for x in lengths]
+    upto = [0, *itertools.accumulate(counts)]
+    total, came = [0, *(size * m for size, m in zip(lengths, upto[1:], strict=True))], []
+    for _ in range(1, min(packing.BUCKETS, len(lengths))):
+        best = [min((total[i] + lengths[j - 1] * (upto[j] - upto[i]), i) for i in range(j)) for j in range(1, len(lengths) + 1)]
+        if best[-1][0] >= total[-1]:
+            break
+        total, came = [0, *(b[0] for b in best)], [*came, [0, *(b[1] for b in best)]]
+    limits, at = {lengths[-1]}, len(lengths)
+    for start in reversed(came):
+        at = start[at]
+        if not at:
+            break
+        limits.add(lengths[at - 1])
+    out = []
+    for bucket, limit in enumerate(sorted(limits)):
+        inside = [r for r in rows if next(x for x in sorted(limits) if size_of(r[1]) <= x) == limit]
+        holds = max(1, packing.BUDGET // max(limit, 1))
+        out += [(r[0], r[2], size_of(r[1]), bucket, limit, k // holds, k % holds) for k, r in enumerate(sorted(inside, key=lambda r: key_of(r[0], r[1])))]
+    return out
+
+
+def test_pipeline_against_plain_python(spark):
+    """All five stages over whole tables, each in plain Python over what the one before it kept."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang", "source").collect()
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    p = np.rint(np.clip(model(quality._expand(quality._measured([r.text or "" for r in rows]))), 1e-6, 1 - 1e-6) * 1e6) / 1e6
+    sites = [(r.source, "/".join(v for v in (r.source, r.lang) if v is not None), float(v)) for r, v in zip(rows, p, strict=True)]
+    good = [r for r, x in zip(rows, plain_hierarchy(sites), strict=True) if x[2] >= quality.THRESHOLD]
+    assert 0 < len(good) < len(rows) and len({r.doc_id for r in good}) == len(good)
+    groups = plain([(r.doc_id, r.text) for r in good], near_dups.Settings().words)
+    once = [r for r, (d, n, component) in zip(good, groups, strict=True) if n == 0 or d == component]
+    assert len(once) < len(good)
+    clean = [(r.doc_id, plain_redaction(r.text), r.source) for r in once]
+    assert any(a[1] != b.text for a, b in zip(clean, once, strict=True))
+    wanted = plain_pack(plain_mix(clean))
+    found = [tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "source", "length", "bucket", "bucket_length", "batch", "slot").collect()]
+    assert sorted(found, key=repr) == sorted(wanted, key=repr)

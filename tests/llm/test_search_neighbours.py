@@ -28,7 +28,7 @@ def best(rows, queries, k):
 def test_search(spark, first):
     rng = random.Random(1)
     words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(300)]
-    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))).replace("w1 ", "É ")) for i in range(400)] + [(None, "w5 w6"), (401, None), (50, "w7 w7 w7"), (402, "w9 " * 2000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))).replace("w1 ", "É ")) for i in range(400)] + [(None, "w5 w6"), (401, None), (50, "w7 w7 w7"), (402, "w9 " * 2000), (403, "w3 w8 " * 40_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     index = search.build_index(docs, shard_words=1500)
     assert index.count() > 2
