@@ -38,7 +38,7 @@ def strict_pairs(images: DataFrame, labels: DataFrame) -> DataFrame:
     pairs = matched_pairs(images, labels)
     broken = F.col("image").isNull() | F.col("label").isNull() | (F.count("*").over(Window.partitionBy("key")) > 1)
     checked = pairs.withColumn("_broken", broken)
-    said = F.raise_error(F.concat(F.lit("image and label don't match: "), F.coalesce("image", "label"))).cast("boolean")
+    said = F.raise_error(F.concat(F.lit("image and label don't match, no partner: "), F.coalesce("image", "label"))).cast("boolean")
     return checked.where(F.when(F.col("_broken"), said).otherwise(F.lit(True))).drop("_broken")
 
 
