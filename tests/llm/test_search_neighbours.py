@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 from functools import reduce
 
 import numpy as np
@@ -74,6 +75,42 @@ def test_pruned_search_is_exact():
             assert [(-s, d) for s, d in index.top(places, idf, 7, floor) if s >= floor] == [x for x in wanted if -x[0] >= floor]
 
 
+@pytest.mark.parametrize("block_terms", [60, 1000])
+def test_blocks_of_queries(spark, block_terms):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(1, 30)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = search.build_index(docs, shard_words=400)
+    n, mean = search.totals(index)
+    said = search.said_terms(docs.where("doc_id % 5 = 0"))
+    queries = search.keywords(said, search.document_frequencies(index, said), n, 6)
+    wanted = {}
+    words = {(r.query_id, r.term): r.word.encode() for r in said.collect()}
+    for r in queries.collect():
+        wanted[r.query_id] = [(words[r.query_id, t], i) for t, i in zip(r.terms, r.idfs, strict=True)]
+    found = {}
+    for r in search.top_k(index, queries, mean, 5, first=3, block_terms=block_terms).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((-r.score, r.doc_id))
+    assert found == best(rows, wanted, 5)
+
+
+def test_memory_of_a_shard():
+    """Whatever the table's size, a full shard is built and loaded in what two workers have beside a JVM of 1800 MB under 3000."""
+    n = search.SHARD_WORDS
+    rng = np.random.default_rng(6)
+    docs, lengths = np.repeat(np.arange(n // 400, dtype=np.int32), 400), np.full(n // 400, 400)
+    terms, tf = rng.integers(0, n // 5, len(docs)), np.ones(len(docs), np.int32)
+    tracemalloc.start()
+    built = search.Index.build(np.arange(n // 400), docs, terms, tf, lengths)
+    data = built.dump()
+    own = built.terms
+    del built
+    search.Searcher(search.Index.load(own, data), 400.0, search.Bm25())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
 def test_empty_search(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     index = search.build_index(docs)
