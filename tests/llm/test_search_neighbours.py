@@ -94,6 +94,51 @@ def test_blocks_of_queries(spark, block_terms):
     assert found == best(rows, wanted, 5)
 
 
+def test_every_term_of_a_row_counts(spark, tmp_path):
+    """Rows 1 and 2 share with row 0 only what is in most rows, and so is last among its terms."""
+    often = [f"o{i}" for i in range(20)]
+    rows = [(0, " ".join([f"own{i} own{i}" for i in range(40)] + often[:9])), (1, " ".join(often[:9])), (2, "o1 x o2"), (3, "nothing of it"), (4, None)]
+    rng = random.Random(7)
+    rows += [(i, " ".join(rng.sample(often[9:], 8) + rng.sample(often[:9], i % 3))) for i in range(5, 120)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {}
+    for r in search.op5_search(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((-r.score, r.doc_id))
+    counts = {}
+    for _, t in rows:
+        for w in set((t or "").encode().split()):
+            counts[w] = counts.get(w, 0) + 1
+    idf = {w: math.log(1 + (len(rows) - c + 0.5) / (c + 0.5)) for w, c in counts.items()}
+    wanted = {}
+    for q, t in rows:
+        if q % 50 == 0:
+            text = t.encode().split()
+            wanted[q] = [(w, idf[w]) for w in sorted(set(text), key=lambda w: (-round(text.count(w) * idf[w], 6), w))]
+    assert found == best(rows, wanted, 10)
+    assert {1, 2} <= {d for _, d in found[0]}
+
+
+def test_rows_and_lists_agree(monkeypatch):
+    """Lists kept as rows or not, and whatever the floor, the best are the same."""
+    rng = np.random.default_rng(11)
+    n, terms = 2000, 300
+    docs, which = np.nonzero(rng.random((n, terms)) < rng.random(terms) ** 4)
+    tf, lengths = rng.integers(1, 6, len(docs)), rng.integers(5, 90, n)
+    built = search.Index.build(np.arange(n), docs, which.astype(np.int64), tf, lengths)
+    found = []
+    for often in (0, 3, 12, 10**6):
+        monkeypatch.setattr(search, "OFTEN", often)
+        index = search.Searcher(search.Index.load(built.terms, built.dump()), 40.0, search.Bm25())
+        assert (len(index.rows) > 0) == (often > 0)
+        queries = [(index.places(np.append(-5, np.random.default_rng(q).permutation(terms)[: 40 * q + 1])), np.random.default_rng(q).random(40 * q + 2)) for q in range(8)]
+        all_of = [index.top(p, i, 10) for p, i in queries]
+        for (p, i), near, whole in zip(queries, index.often(queries), all_of, strict=True):
+            for floor in (0.0, whole[4][0], whole[-1][0], whole[0][0] + 1):
+                assert [x for x in index.top(p, i, 10, floor, near) if x[0] >= floor] == [x for x in whole if x[0] >= floor]
+        found.append(all_of)
+    assert all(f == found[0] for f in found)
+
+
 def test_memory_of_a_shard():
     """Whatever the table's size, a full shard is built and loaded in what two workers have beside a JVM of 1800 MB under 3000."""
     n = search.SHARD_WORDS
