@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, fields
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,43 @@ def parse_polygons(rows: DataFrame, line: str = "line") -> DataFrame:
     return rows.withColumns({"class_id": F.get(f, 0).try_cast("int"), "points": checked})
 
 
+#: Plain XML: elements without attributes, texts without references, and no other markup.  A leaf is an element with a text.
+_NAME = "[A-Za-z_][A-Za-z0-9_]*"
+_TEXT = r"[^<&\]\r\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]*"
+_SPACE = r"[ \t\n]*"
+
+
+def _leaf(tag: str, name: str, *others: str) -> str:
+    """A leaf of any name but ``others``; its text is the group ``name``."""
+    barred = f"(?!(?:{'|'.join(others)})>)" if others else ""
+    return f"<(?P<{tag}>{barred}{_NAME})>" + (f"(?P<{name}>{_TEXT})" if name else _TEXT) + f"</(?P={tag})>{_SPACE}"
+
+
+_HEAD = re.compile(f"{_SPACE}<(?P<root>{_NAME})>{_SPACE}(?:{_leaf('a', '', 'size', 'object')})*<size>{_SPACE}{_leaf('b', 'width')}{_leaf('c', 'height')}(?:{_leaf('d', '')})*</size>{_SPACE}(?:{_leaf('e', '', 'size', 'object')})*")
+_ONE = re.compile(
+    f"<object>{_SPACE}(?:{_leaf('a', '', 'name', 'bndbox')})*<name>(?P<name>{_TEXT})</name>{_SPACE}(?:{_leaf('b', '', 'name', 'bndbox')})*<bndbox>{_SPACE}"
+    + "".join(_leaf(f"c{k}", f"v{k}") for k in range(4))
+    + f"(?:{_leaf('d', '')})*</bndbox>{_SPACE}(?:{_leaf('e', '', 'name', 'bndbox')})*</object>{_SPACE}(?:{_leaf('f', '', 'size', 'object')})*"
+)
+_TAIL = re.compile(f"</({_NAME})>{_SPACE}")
+
+
+def _plain_objects(xml: str) -> list[tuple] | None:
+    """As ``_objects``, for plain XML with a size, then objects with a name and then a box; None for all else."""
+    head = _HEAD.match(xml)
+    if not head:
+        return None
+    root, width, height = head.group("root", "width", "height")
+    width, height = float(width), float(height)
+    found, at = [], head.end()
+    while one := _ONE.match(xml, at):
+        name, *box = one.group("name", "v0", "v1", "v2", "v3")
+        found.append((name or None, width, height, *map(float, box)))
+        at = one.end()
+    tail = _TAIL.fullmatch(xml, at)
+    return found if tail and tail[1] == root else None
+
+
 OBJECTS = "array<struct<name: string, width: double, height: double, xmin: double, ymin: double, xmax: double, ymax: double>>"
 
 
@@ -80,14 +119,24 @@ def parse_voc(rows: DataFrame, xml: str = "text") -> DataFrame:
 
     Values are by place in their parent, not by tag.  Of several sizes, names
     or boxes, the last holds.  An object without a name or a box raises.  Each
-    document is parsed once, which the XPath functions would do for each value.
+    document is parsed once, which the XPath functions would do for each value;
+    plain ones by expressions for their few forms, others by an XML parser.
     """
     fields = ("name", "width", "height", "xmin", "ymin", "xmax", "ymax")
 
     @F.arrow_udf(OBJECTS)
     def objects(texts: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([(c, pa.string() if c == "name" else pa.float64()) for c in fields]))
-        return pa.array([None if t is None else [dict(zip(fields, o, strict=True)) for o in _objects(t)] for t in texts.to_pylist()], kind)
+        found: list[tuple] = []
+        ends: list[int] = [0]
+        for t in texts.to_pylist():
+            if t is not None:
+                own = _plain_objects(t)
+                found += _objects(t) if own is None else own
+            ends.append(len(found))
+        called, *numbers = zip(*found, strict=True) if found else [()] * len(fields)
+        columns = [pa.array(called, pa.string()), *(pa.array(np.array(n, np.float64)) for n in numbers)]
+        # A null text has no objects, as one without any; neither has rows.
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, list(fields)))
 
     return rows.withColumn("_o", objects(xml)).select(*rows.columns, F.inline("_o"))
 

@@ -64,6 +64,26 @@ def test_voc(spark):
         labels.parse_voc(spark.createDataFrame([("p", xml.replace("<name>bus</name>", ""))], "path string, text string")).collect()
 
 
+def test_plain_voc_needs_no_parser():
+    """What the expressions take is as the parser has it; the rest is left to the parser."""
+    box = "<bndbox><xmin>1</xmin>\n<ymin> 2 </ymin><xmax>3e1</xmax><ymax>4</ymax><more>x</more></bndbox>"
+    one = f"<object><name>ein \u00e9 > 1</name><pose>Left</pose>{box}</object>"
+    size = "<size><width>100</width><height>50</height><depth>3</depth></size>"
+    plain = [f"<a>{size}</a>", f" <a><folder>f</folder>\n{size}<x></x>{one}\n</a>\n", f"<a>{size}{one * 3}<segmented>0</segmented></a>", f"<a>{size}{one.replace('ein', '')}</a>", f"<a>{size}<object><name></name>{box}</object></a>"]
+    for xml in plain:
+        assert labels._plain_objects(xml) == labels._objects(xml)
+    assert len(labels._plain_objects(plain[2])) == 3
+    other = [f"<a>{one}{size}</a>", f"<a>{size}{size.replace('100', '7')}{one}</a>", f"<a>{size}<object>{box}<name>n</name></object></a>", f"<a>{size}{one.replace('<name>', '<name>m</name><name>')}</a>"]
+    other += [f"<?xml version='1.0'?><a>{size}{one}</a>", f"<a>{size}<!-- c -->{one}</a>", f"<a>{size}{one.replace('ein', '&lt;')}</a>", f"<a>{size}{one.replace('ein', '<![CDATA[x]]>')}</a>", f"<a b='c'>{size}{one}</a>", f"<a>{size}{one}\r\n</a>", f"<a>{one}</a>"]
+    for xml in other:
+        assert labels._plain_objects(xml) is None
+        assert labels._objects(xml)
+    for xml in (f"<a>{size}{one}</b>", f"<a>{size}{one}", f"<a>{size}{one}</a><a></a>", f"<a>{size}<object>{box}</object></a>", "", f"<a>{size}{one.replace('ein', ']]>')}</a>"):
+        assert labels._plain_objects(xml) is None
+        with pytest.raises((ValueError, SyntaxError)):
+            labels._objects(xml)
+
+
 def test_class_lists(spark):
     one = spark.createDataFrame([(" a \n\nb\n",)], "text string")
     assert [(r.class_id, r.name) for r in labels.class_list(one).collect()] == [(0, "a"), (1, ""), (2, "b")]
