@@ -139,6 +139,35 @@ def test_rows_and_lists_agree(monkeypatch):
     assert all(f == found[0] for f in found)
 
 
+def test_kin_share_rows():
+    """Two languages in turn: each one's words, too rare for rows over all documents, are rows where its documents lie, and all is found."""
+    rng = np.random.default_rng(12)
+    n, own = 1600, 60
+    docs, which = np.nonzero(rng.random((n, own)) < 0.06)
+    which += np.where(docs % 2, 1000, 2000)
+    docs, which = np.append(docs, np.arange(n)), np.append(which, np.where(np.arange(n) % 2, 1, 2))
+    order = np.lexsort((which, docs))
+    docs, which = docs[order].astype(np.int32), which[order]
+    tf, lengths = rng.integers(1, 4, len(docs)).astype(np.int32), rng.integers(5, 40, n)
+    built = search.Index.build(np.arange(n), docs, which, tf, lengths)
+    assert (np.diff(built.doc_ids % 2) != 0).sum() < 40
+    shard = search.Searcher(search.Index.load(built.terms, built.dump()), 20.0, search.Bm25())
+    assert len(shard.listed) < len(docs) / 4
+    for q in range(0, n, 100):
+        terms = which[docs == q]
+        idf = rng.random(len(terms)) + 0.5
+        scores = np.zeros(n)
+        for t, i in zip(terms, idf, strict=True):
+            held = which == t
+            scores[docs[held]] += i * (tf[held] * 2.2 / (tf[held] + 1.2 * (0.25 + 0.75 * lengths[docs[held]] / 20.0)))
+        wanted = sorted((-round(s, 6), d) for d, s in enumerate(scores.tolist()) if s > 0)[:10]
+        places = shard.places(terms)
+        assert [(-s, d) for s, d in shard.top(places, idf, 10)] == wanted
+        assert [(-s, d) for s, d in shard.top(places, idf, 10, -wanted[-1][0])] == wanted
+        # A floor that splits the lists.
+        assert [(-s, d) for s, d in shard.top(places, idf, 10, -wanted[0][0])] == [w for w in wanted if w[0] == wanted[0][0]]
+
+
 def test_memory_of_a_shard():
     """Whatever the table's size, a full shard is built and loaded in what two workers have beside a JVM of 1800 MB under 3000."""
     n = search.SHARD_WORDS
